@@ -44,3 +44,10 @@ def unclash(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Repartition over all cores before costly row work, which adaptive coalescing by bytes would put into one task."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
