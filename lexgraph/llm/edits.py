@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 from ..functions.chars import LOOKALIKES, to_plain
 
@@ -19,7 +20,7 @@ def fold_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", plain).lower() if not unicodedata.combining(c))
 
 
-def damerau(a: str, b: str) -> int:
+def damerau(a: Sequence, b: Sequence) -> int:
     """Unrestricted Damerau-Levenshtein distance, a true metric: insert, delete, substitute, swap neighbours."""
     if a == b:
         return 0
@@ -35,7 +36,7 @@ def damerau(a: str, b: str) -> int:
     if not a or not b:
         return len(a) or len(b)
     far = len(a) + len(b)
-    last_row: dict[str, int] = {}
+    last_row: dict = {}
     rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
         row = [far, i]
@@ -52,3 +53,43 @@ def damerau(a: str, b: str) -> int:
         last_row[x] = i
         rows.append(row)
     return rows[-1][-1]
+
+
+def optimal_assignment(cost: list[list[float]]) -> tuple[float, list[int]]:
+    """The cheapest assignment of rows to columns (rows <= columns): total and the column of each row."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    if not n:
+        return 0.0, []
+    inf = float("inf")
+    u, v, at = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        at[0] = i
+        j0 = 0
+        least, way, used = [inf] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while True:
+            used[j0] = True
+            i0, delta, j1 = at[j0], inf, 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    cur = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if cur < least[j]:
+                        least[j], way[j] = cur, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[at[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+            if at[j0] == 0:
+                break
+        while j0:
+            at[j0] = at[way[j0]]
+            j0 = way[j0]
+    cols = [0] * n
+    for j in range(1, m + 1):
+        if at[j]:
+            cols[at[j] - 1] = j - 1
+    return sum(cost[i][c] for i, c in enumerate(cols)), cols

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import product
@@ -63,31 +64,34 @@ def radius(n: int) -> int:
 
 
 class BKTree:
-    """Burkhard-Keller tree over strings under the unrestricted Damerau-Levenshtein metric."""
+    """Burkhard-Keller trees over strings under the unrestricted Damerau-Levenshtein metric, one tree per key length.
+
+    No distance is below the difference of the lengths, so a search visits only the trees of
+    near lengths; within a tree the triangle inequality prunes. Nor is it below the number of
+    letters one string has beyond the other's, which spares most full computations.
+    """
 
     def __init__(self) -> None:
-        self._root: list | None = None
+        self._roots: dict[int, list] = {}
 
     def add(self, key: str) -> None:
-        if self._root is None:
-            self._root = [key, {}]
-            return
-        node = self._root
-        while True:
-            d = damerau(key, node[0])
-            if d == 0:
-                return
+        node = self._roots.setdefault(len(key), [key, {}, Counter(key)])
+        while (d := damerau(key, node[0])) > 0:
             if d not in node[1]:
-                node[1][d] = [key, {}]
+                node[1][d] = [key, {}, Counter(key)]
                 return
             node = node[1][d]
 
     def within(self, key: str, most: int) -> list[tuple[int, str]]:
-        """Every (distance, entry key) within ``most``; subtrees are pruned by the triangle inequality."""
+        """Every (distance, entry key) within ``most``."""
         found: list[tuple[int, str]] = []
-        stack = [self._root] if self._root else []
+        stack = [self._roots[n] for n in range(len(key) - most, len(key) + most + 1) if n in self._roots]
+        letters = Counter(key)
         while stack:
-            other, children = stack.pop()
+            other, children, bag = stack.pop()
+            if len(children) <= 4 and max((letters - bag).total(), (bag - letters).total()) > most:
+                stack.extend(children.values())
+                continue
             d = damerau(key, other)
             if d <= most:
                 found.append((d, other))
