@@ -44,6 +44,18 @@ def _table() -> np.ndarray:
     return t
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, kept by the worker."""
+    if not _POWERS or len(_POWERS[0]) < n + 1:
+        size = max(n + 1, 1 << 19)
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.full(size, b, dtype=np.uint64), dtype=np.uint64) for b in (_BASE, _INVERSE)]
+    return _POWERS[0][:n], _POWERS[1][: n + 1]
+
+
 @dataclass
 class Words:
     """The words of a batch: hash, number of the text, and the positions [start, end) of each in ``codes``' text."""
@@ -73,10 +85,10 @@ def words_of(texts: Sequence[str | None]) -> Words:
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(code), _BASE, dtype=np.uint64), dtype=np.uint64)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(code.astype(np.uint64) * power, dtype=np.uint64)))
-        inverse = np.cumprod(np.full(len(code), _INVERSE, dtype=np.uint64), dtype=np.uint64)
-        h = (sums[last] - sums[first]) * (inverse[first] if len(first) else np.zeros(0, np.uint64))
+        power, inverse = _powers(len(code))
+        sums = np.zeros(len(code) + 1, dtype=np.uint64)
+        np.cumsum(code * power, dtype=np.uint64, out=sums[1:])
+        h = (sums[last] - sums[first]) * inverse[first]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
