@@ -130,11 +130,16 @@ def fold(c: Column) -> Column:
     Every look-alike becomes Latin, also in words wholly of another script, so this is a
     comparison key and not the consistent form. NULL stays NULL, an empty text stays empty.
     """
-    src, dst = _fold_pairs()
-    multi = {k: v for k, v in joined_letters().items() if len(v) > 1}
-    singles = {k: v for k, v in joined_letters().items() if len(v) == 1}
+    src, dst, multi = fold_tables()
     wide = c
     for k, v in multi.items():
         wide = F.replace(wide, F.lit(k), F.lit(v))
     wide = F.when(c.rlike("[" + "".join(multi) + "]"), wide).otherwise(c)
-    return F.lower(F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(wide, "".join(singles) + src, "".join(singles.values()) + dst)).otherwise(c))
+    return F.lower(F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(wide, src, dst)).otherwise(c))
+
+
+def fold_tables() -> tuple[str, str, dict[str, str]]:
+    """What ``fold`` translates: characters, their replacements (the rest are deleted), and the ones that become several."""
+    src, dst = _fold_pairs()
+    singles = {k: v for k, v in joined_letters().items() if len(v) == 1}
+    return "".join(singles) + src, "".join(singles.values()) + dst, {k: v for k, v in joined_letters().items() if len(v) > 1}
