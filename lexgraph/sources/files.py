@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import TRIPLES
 from ..functions.text import header_meta, normalize_relation, normalize_ro
 from ..operators.resolve import canonicalize
+from ..operators.store import conform
 
 META = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("law_id", "tip_act", "numar", "an", "titlu", "emitent", "data_act", "data_publicare", "monitorul_oficial_nr", "source_url")]
@@ -21,7 +22,11 @@ DOCUMENT = T.StructType(
         T.StructField("triples", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("head", "relation", "tail", "article_number")]))),
     ]
 )
-_STEM = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.meta)?\.[^.]*$", 1)
+
+
+def _stem() -> Column:
+    """File name without its ending."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.meta)?\.[^.]*$", 1)
 
 
 def read_laws(spark: SparkSession, directory: str) -> DataFrame:
@@ -29,7 +34,7 @@ def read_laws(spark: SparkSession, directory: str) -> DataFrame:
 
     The identifier is the sidecar's, else the file's stem. A sidecar that is no JSON counts as absent.
     """
-    texts = spark.read.option("pathGlobFilter", "*.txt").text(directory, wholetext=True).select(_STEM.alias("stem"), F.col("value"))
+    texts = spark.read.option("pathGlobFilter", "*.txt").text(directory, wholetext=True).select(_stem().alias("stem"), F.col("value"))
     texts = texts.where(F.length("value") > 0).select("stem", normalize_ro(F.col("value")).alias("law_text"))
     meta = read_meta(spark, directory)
     joined = texts.join(meta.withColumnRenamed("file_stem", "stem"), "stem", "left")
@@ -41,7 +46,7 @@ def read_meta(spark: SparkSession, directory: str) -> DataFrame:
     """Sidecars as rows, with the stem of the file each belongs to; broken ones are dropped."""
     broken = "_broken"
     raw = spark.read.schema(T.StructType([*META.fields, T.StructField(broken, T.StringType())])).options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=broken, pathGlobFilter="*.meta.json").json(directory)
-    return raw.select(_STEM.alias("file_stem"), "*").where(F.col(broken).isNull()).drop(broken)
+    return raw.select(_stem().alias("file_stem"), "*").where(F.col(broken).isNull()).drop(broken)
 
 
 def derive_meta(laws: DataFrame, text: str = "law_text") -> DataFrame:
@@ -66,14 +71,10 @@ def read_documents(spark: SparkSession, directory: str, aliases: DataFrame | Non
 def read_triples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A triple store with its fixed schema; columns that the files lack are NULL."""
     if fmt != "csv":
-        from ..operators.store import conform
-
         return conform(spark.read.format(fmt).load(path))
     head = spark.read.option("header", True).csv(path).columns  # the header line only; no inference of types
     by_name = {f.name: f.dataType for f in TRIPLES}
     schema = T.StructType([T.StructField(c, by_name.get(c, T.StringType())) for c in head])
-    from ..operators.store import conform
-
     return conform(spark.read.option("header", True).schema(schema).csv(path))
 
 
