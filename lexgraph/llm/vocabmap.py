@@ -240,7 +240,7 @@ def map_sharded(values: DataFrame, col: str, entries: DataFrame, entry_col: str,
         .where(e.isNotNull())
         .distinct()
         .withColumn("__s", F.pmod(F.xxhash64("__e"), F.lit(shards)).cast("int"))
-        .withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).cast("bigint"))
+        .withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
     )
 
     def winners(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
