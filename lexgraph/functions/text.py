@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..constants import EDGE_PUNCTUATION, MONTHS, RELATION_SYNONYMS, RELATIONS
 
+# How the line of the official gazette is written.
 _GAZETTE = r"(?iU)MONITORUL\s+OFICIAL\s+nr\.?\s*[0-9][0-9.]*\s+din\s+(?:data\s+(?:de\s+)?)?[0-9]{1,2}\s+\p{L}+\s+[0-9]{4}"
 
 
@@ -72,6 +73,7 @@ def ro_date(day: Column, month: Column, year: Column) -> Column:
     return F.when(number.isNull(), F.concat(year, F.lit("-01-01"))).otherwise(F.concat_ws("-", year, number, F.lpad(F.trim(day), 2, "0")))
 
 
+# How titles begin, and the act type each means.
 _TITLE_TYPES = (  # longest first, so that an emergency ordinance is no ordinance
     (r"^ORDONANȚĂ\s+DE\s+URGENȚĂ", "Ordonanță de urgență"),
     (r"^ORDONANȚĂ", "Ordonanță"),

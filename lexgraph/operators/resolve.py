@@ -44,6 +44,7 @@ def alias_dim(meta: DataFrame) -> DataFrame:
     return meta.where(F.col("law_id").isNotNull()).select(F.explode(keys).alias("k"), "law_id").select(norm_key(F.col("k")).alias("key"), "law_id").where("key <> ''").groupBy("key").agg(F.min("law_id").alias("law_id"))
 
 
+# Forms from which an identifier can be made.
 _SYNTH = (
     ("oug", r"^(?:ordonanta de urgenta(?: a guvernului)?|o\.?\s?u\.?\s?g\.?)"),
     ("og", r"^(?:ordonanta(?: a? ?guvernului)?|o\.?\s?g\.?)"),
