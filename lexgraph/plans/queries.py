@@ -368,9 +368,15 @@ def val_spotcheck(spark: SparkSession, d: str) -> DataFrame:
 
 
 def law_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of the acts without other than ASCII and Romanian letters; law_summary_full has all acts."""
     return report.law_summary(table(spark, d, "legislative_corpus").where(~F.col("law_text").rlike(r"[^\x00-\x7FăâîșțĂÂÎȘȚ]"))).select("corpus_id", "n_chars")
 
 
+def law_summary_full(spark: SparkSession, d: str) -> DataFrame:
+    """Length and preview of every act of the corpus."""
+    return report.law_summary(table(spark, d, "legislative_corpus")).select("corpus_id", "n_chars", "preview")
+
+
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest vectors of every hundredth one."""
     e = table(spark, d, "embeddings")
@@ -390,7 +396,7 @@ _ALL: tuple[Query, ...] = (
     kb_by_article, kb_modified_by, kb_modifying, kb_emitter, kb_entity_relations, kb_statistics, kb_relation_histogram, kb_triple_sources, kb_triples_with_sources, graph_nodes,
     graph_law_annotation, graph_degrees, graph_density, graph_reciprocity, graph_degree_histogram, graph_sample, graph_components, ax_functional, ax_asymmetric, ax_irreflexive,
     ax_symmetric, ax_domain, ax_transitive_2hop, ax_transitive_count, ax_counts, ax_all, sim_relation_jaccard, sim_relation_cosine, sim_node_jaccard, sim_triple_jaccard,
-    sim_compliance, eda_basic, eda_top_relations, eda_top_entities, val_vocab_coverage, val_per_law, val_method_share, val_spotcheck, law_summary, knn_topk, pipeline_triples,
+    sim_compliance, eda_basic, eda_top_relations, eda_top_entities, val_vocab_coverage, val_per_law, val_method_share, val_spotcheck, law_summary, law_summary_full, knn_topk, pipeline_triples,
 )
 
 
@@ -492,6 +498,7 @@ def oracle_sql() -> dict[str, str]:
         "val_method_share": "SELECT coalesce(source_method, 'missing') AS source_method, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM legislative_triples), 9) AS pct FROM legislative_triples GROUP BY 1",
         "val_spotcheck": f"{KG} SELECT law_id, count(*) AS n_triples, count(DISTINCT relation) AS n_relations, count(*) FILTER (relation IN {_lit(CROSS_REFERENCES)}) AS n_cross_references, least(5, count(DISTINCT head || relation || tail || article_number))::INTEGER AS n_sample FROM kg WHERE law_id IN {laws} GROUP BY 1",
         "law_summary": "SELECT corpus_id, length(law_text)::INTEGER AS n_chars FROM legislative_corpus WHERE NOT regexp_matches(law_text, '[^\\x00-\\x7FăâîșțĂÂÎȘȚ]')",
+        "law_summary_full": "SELECT corpus_id, length(law_text)::INTEGER AS n_chars, substr(regexp_replace(law_text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), 1, 60) AS preview FROM legislative_corpus",
         "knn_topk": "WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0) SELECT q_id, rank::INTEGER AS rank, vec_id FROM (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q::DOUBLE[], embedding::DOUBLE[]), vec_id) AS rank FROM q, embeddings) WHERE rank <= 3",
         "p5_found": references.SQL,
         "p5_report": f"SELECT 'legislative_triples' AS tbl, fld, ym, orphan_kind, count(*) AS n_refs FROM ({references.SQL}) GROUP BY ALL",
