@@ -16,6 +16,9 @@ from ..constants import EDGE_PUNCTUATION, MONTHS, RELATION_SYNONYMS, RELATIONS
 # How the line of the official gazette is written.
 _GAZETTE = r"(?iU)MONITORUL\s+OFICIAL\s+nr\.?\s*[0-9][0-9.]*\s+din\s+(?:data\s+(?:de\s+)?)?[0-9]{1,2}\s+\p{L}+\s+[0-9]{4}"
 
+# Combining marks, and the ranges around the other characters that composition changes (Greek, Indic, Tibetan, Hebrew, Hangul, spaces, signs, compatibility ideographs).
+_UNCOMPOSED = r"[\p{M}\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C-\u0B5D\u0F43-\u0F69\u1160-\u11FF\u1F00-\u1FFF\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
+
 
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
@@ -23,8 +26,8 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Composed characters; only values with a combining mark leave the JVM."""
-    return F.coalesce(_nfc(F.when(c.rlike(r"\p{M}"), c)), c)
+    """Composed characters; only values with a combining mark, or a character that is replaced or joined without one, leave the JVM."""
+    return F.coalesce(_nfc(F.when(c.rlike(_UNCOMPOSED), c)), c)
 
 
 def comma_below(c: Column) -> Column:
@@ -40,7 +43,7 @@ def strip_gazette_header(c: Column) -> Column:
 
 def tidy_whitespace(c: Column) -> Column:
     """No blanks at line ends, at most one empty line in a row, none at the edges."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t]+(?=\n|\z)", ""), r"\n{3,}", "\n\n"), r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
 
 
 def normalize_ro(c: Column) -> Column:

@@ -40,6 +40,13 @@ def norm_ro(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", tx.normalize_ro(raw).alias("norm"))
 
 
+def norm_ro_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of documents and legislative_corpus as stored, normalised."""
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), F.col("text").alias("t"))
+    acts = table(spark, d, "legislative_corpus").select(F.lit("legislative_corpus").alias("tbl"), F.col("corpus_id").alias("row_id"), F.col("law_text").alias("t"))
+    return docs.unionByName(acts).select("tbl", "row_id", tx.normalize_ro(F.col("t")).alias("norm"))
+
+
 def norm_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "law_meta").select("meta_id", tx.norm_key(F.concat(F.lit(" «"), F.col("titlu"), F.lit("» ;"))).alias("key"))
 
@@ -89,6 +96,11 @@ def llm_windows(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size(w).alias("n_windows"), F.length(F.element_at(w, -1)).alias("last_chars"))
 
 
+def llm_windows_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every window of every document's text as stored, paragraphs packed; a NULL text has none."""
+    return extract.windows_of(table(spark, d, "documents").select("doc_id", "text"), size=1000, overlap=100)
+
+
 def cite_scan(spark: SparkSession, d: str) -> DataFrame:
     a = segment.split_into_articles(act_texts(spark, d))
     c = cite.cited(a.select("law_id", "article_number", "text"), "text")
@@ -391,7 +403,7 @@ def pipeline_triples(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL: tuple[Query, ...] = (
-    norm_ro, norm_key, ro_date, header_meta, roman_to_int, relation_normalize, segment_articles, llm_windows, cite_scan, cite_compound, cite_trigger, cite_self_filter,
+    norm_ro, norm_ro_texts, norm_key, ro_date, header_meta, roman_to_int, relation_normalize, segment_articles, llm_windows, llm_windows_texts, cite_scan, cite_compound, cite_trigger, cite_self_filter,
     law_id_synthesize, law_id_resolve, canonicalize, anaphora, parse_response, src_union_schema, merge_best_confidence, kb_dedup, kb_by_entity, kb_by_relation, kb_by_law,
     kb_by_article, kb_modified_by, kb_modifying, kb_emitter, kb_entity_relations, kb_statistics, kb_relation_histogram, kb_triple_sources, kb_triples_with_sources, graph_nodes,
     graph_law_annotation, graph_degrees, graph_density, graph_reciprocity, graph_degree_histogram, graph_sample, graph_components, ax_functional, ax_asymmetric, ax_irreflexive,
