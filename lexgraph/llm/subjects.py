@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
@@ -23,8 +24,8 @@ ACCEPT = 2.0
 TEACH = 1.0
 #: Share of its sentences that a document must spend on an area.
 SHARE = 0.25
-#: Labelled rows that are read for training, and n-grams that a model keeps, the most frequent ones.
-MAX_SAMPLES, MAX_NGRAMS = 50_000, 100_000
+#: Labelled rows that are read for training.
+MAX_SAMPLES = 50_000
 
 
 def sentences_of(w: Words) -> np.ndarray:
@@ -119,13 +120,14 @@ class SubjectModels:
     bi_ratio: np.ndarray
 
     @staticmethod
-    def fit(subjects: list[str], uni: np.ndarray, uni_n: np.ndarray, bi: np.ndarray, bi_n: np.ndarray, bi_first: np.ndarray, bi_last: np.ndarray) -> SubjectModels:
+    def fit(subjects: list[str], uni: np.ndarray, uni_n: np.ndarray, bi: np.ndarray, bi_n: np.ndarray, bi_first: np.ndarray, bi_last: np.ndarray, total: np.ndarray | None = None) -> SubjectModels:
         """From sorted n-gram hashes and their counts per class; the last class holds sentences of no subject.
 
-        ``bi_first`` and ``bi_last`` are the rows in ``uni`` of the words of each bigram.
+        ``bi_first`` and ``bi_last`` are the rows in ``uni`` of the words of each bigram; ``total``
+        has the words of each class where ``uni`` does not hold all of them.
         """
         k = len(subjects)
-        total = uni_n.sum(axis=0)
+        total = uni_n.sum(axis=0) if total is None else total
         active = total > 0
         # every class weighs alike in the background, however common it is
         ml = uni_n / np.maximum(total, 1.0)
@@ -182,8 +184,8 @@ def count_ngrams(h: np.ndarray, sentence: np.ndarray, g: np.ndarray, g_at: np.nd
     return together(uni, 3), together(bi, 5)
 
 
-def fit_counts(subjects: list[str], uni: pd.DataFrame, bi: pd.DataFrame) -> SubjectModels:
-    """Models from counted n-grams: uni (hash, class, n), bi (hash, first, last, class, n)."""
+def fit_counts(subjects: list[str], uni: pd.DataFrame, bi: pd.DataFrame, total: np.ndarray | None = None) -> SubjectModels:
+    """Models from counted n-grams: uni (hash, class, n), bi (hash, first, last, class, n); total as in ``SubjectModels.fit``."""
     classes = len(subjects) + 1
     words, inv = np.unique(uni["hash"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
     un = np.zeros((len(words), classes))
@@ -195,7 +197,7 @@ def fit_counts(subjects: list[str], uni: pd.DataFrame, bi: pd.DataFrame) -> Subj
     pairs, at, inv2 = np.unique(bi["hash"].to_numpy(np.int64)[ok].view(np.uint64), return_index=True, return_inverse=True)
     bn = np.zeros((len(pairs), classes))
     np.add.at(bn, (inv2, bi["class"].to_numpy()[ok]), bi["n"].to_numpy()[ok])
-    return SubjectModels.fit(subjects, words, un, pairs, bn, r1[ok][at], r2[ok][at])
+    return SubjectModels.fit(subjects, words, un, pairs, bn, r1[ok][at], r2[ok][at], total)
 
 
 def sample_counts(texts: Sequence[str], labels: Sequence[str], subjects: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -277,12 +279,17 @@ def train_models(docs: DataFrame, text_col: str, samples: DataFrame, sample_text
     Models of the samples label the sentences of all documents that they are sure of (in the first
     round also the other sentences of documents that they are sure of); the n-grams
     of those sentences are counted over the whole corpus (combined per task before the shuffle)
-    and, with those of the samples, give the next models, ``rounds`` times. Of the counts, the MAX_NGRAMS most frequent
-    n-grams of each order come to the driver.
+    and, with those of the samples, give the next models, ``rounds`` times. The G statistic is computed
+    where the counts are: every n-gram with a weight comes to the driver, and the words of those bigrams;
+    the others have no row in a model, so that it is the model of all counts.
     """
     own = sample_counts(*_read_samples(samples, sample_text, subject_col), subjects)
     model = fit_counts(subjects, *own)
     none = len(subjects)
+    spark = docs.sparkSession
+    grams_of = "hash bigint, first bigint, last bigint, pair boolean, class int, n bigint"
+    mine = pd.concat([x.assign(pair=p) for x, p in zip(own, (False, True), strict=True)])[["hash", "first", "last", "pair", "class", "n"]].astype({"class": np.int32, "n": np.int64})
+    taught = spark.createDataFrame(pa.Table.from_pandas(mine, preserve_index=False))
     for turn in range(rounds):
 
         def count(batches: Iterator[pd.DataFrame], model: SubjectModels = model, by_document: bool = turn == 0) -> Iterator[pd.DataFrame]:
@@ -303,18 +310,31 @@ def train_models(docs: DataFrame, text_col: str, samples: DataFrame, sample_text
             if held:
                 yield _combined(held)
 
-        counted = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInPandas(count, "hash bigint, first bigint, last bigint, pair boolean, class int, n bigint")
+        counted = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInPandas(count, grams_of).unionByName(taught)
         per_class = counted.groupBy("pair", "hash", "first", "last", "class").agg(F.sum("n").alias("n"))
-        # written once: both orders are read from it without counting again
-        grams = materialize(per_class.groupBy("pair", "hash", "first", "last").agg(F.sum("n").alias("total"), F.collect_list(F.struct("class", "n")).alias("by_class")))
-        parts = []
-        for pair in (False, True):
-            top = grams.where(F.col("pair") == pair).orderBy(F.col("total").desc(), "hash", "first").limit(MAX_NGRAMS)
-            parts.append(top.select("hash", "first", "last", F.explode("by_class").alias("c")).select("hash", "first", "last", "c.class", "c.n").toPandas())
-        model = fit_counts(subjects, *(pd.concat((mine, counts)) for mine, counts in zip(own, parts, strict=True)))
+        # written once: the totals and both orders are read from it without counting again
+        grams = materialize(per_class.groupBy("pair", "hash", "first", "last").agg(F.collect_list(F.struct("class", "n")).alias("by_class")))
+        words = grams.where(~F.col("pair"))
+        total = np.zeros(none + 1)
+        for r in words.select(F.explode("by_class").alias("c")).groupBy("c.class").agg(F.sum("c.n").alias("n")).collect():
+            total[r["class"]] = r["n"]
+        pairs = grams.where(F.col("pair") & _weighty(F.col("by_class"), total))
+        of_pairs = pairs.select(F.explode(F.array("first", "last")).alias("hash")).distinct().withColumn("of_pair", F.lit(True))
+        words = words.join(of_pairs, "hash", "left").where(F.col("of_pair") | _weighty(F.col("by_class"), total))
+        parts = [x.select("hash", "first", "last", F.explode("by_class").alias("c")).select("hash", "first", "last", "c.class", "c.n").toPandas() for x in (words, pairs)]
+        model = fit_counts(subjects, *parts, total)
     return model
 
 
+def _weighty(by_class: Column, total: np.ndarray) -> Column:
+    """Whether the counts of an n-gram per class have a trust above 0, as ``_trust`` has it, or fall short of that by rounding only."""
+    free = max(int((total > 0).sum()) - 1, 1)
+    share = F.array(*(F.lit(float(x)) for x in total / max(total.sum(), 1.0)))
+    n = F.aggregate(by_class, F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
+    g = F.aggregate(by_class, F.lit(0.0), lambda acc, c: acc + 2 * c["n"] * F.log(c["n"] / (n * F.get(share, c["class"]))))
+    return g > NOISE * free * (1 - 1e-9)
+
+
 def _combined(held: list[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(held).groupby(["hash", "first", "last", "pair", "class"], as_index=False, sort=False)["n"].sum()
 
