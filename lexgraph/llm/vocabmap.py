@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,6 +111,9 @@ class EntryIndex:
         self.short: dict[str, str] = {"".join(keyed(a)): e for a, e in sorted(self.acronyms.items(), reverse=True)}
         self.tree = BKTree()
         self.words: set[str] = set()
+        # form -> words, and the forms with each word, to which abbreviated values are matched
+        self.by_word: dict[str, set[str]] = {}
+        self.by_size: dict[int, set[str]] = {}
         for e in sorted(self.entries):
             words = keyed(e)
             self.words.update(words)
@@ -123,6 +125,13 @@ class EntryIndex:
                 self._put(" ".join(words), 1, e)
         for key in sorted(self.exact):
             self.tree.add(key)
+            words = key.split(" ")
+            self.by_size.setdefault(len(words), set()).add(key)
+            for w in words:
+                self.by_word.setdefault(w, set()).add(key)
+        self.by_letter: dict[str, list[str]] = {}
+        for w in sorted(self.by_word):
+            self.by_letter.setdefault(w[0], []).append(w)
 
     def _put(self, key: str, rank: int, entry: str) -> None:
         if key and (key not in self.exact or (rank, entry) < self.exact[key]):
@@ -135,47 +144,74 @@ class EntryIndex:
         bare = [x for x in words if x not in _CONNECTIVES]
         return [" ".join(w) for w in (words, turned, bare, [x for x in turned if x not in _CONNECTIVES], sorted(bare))]
 
-    def _readings(self, value: str) -> list[str]:
-        """What a value may read as: without a bracketed remark, with abbreviations written out, without connectives."""
-        out: list[str] = []
+    def _spelled(self, short: str) -> list[str]:
+        """Every word that an abbreviation may stand for: those it begins, else those with its letters in their order."""
+        same = self.by_letter.get(short[:1], [])
+        return [x for x in same if x.startswith(short)] or [x for x in same if len(short) > 2 and _shortens(short, x)]
+
+    def _written_out(self, marked: list[tuple[str, bool]]) -> tuple[list[str], list[str]]:
+        """The readings of a value whose words marked True are abbreviations: in its own order, and in any order, sorted.
+
+        The list's forms are narrowed by the value's words and by all words that its abbreviations
+        may stand for, then matched word by word; connectives may be skipped. A word that the list
+        does not have (misspelled) fits any and stays as it is, for the tree to correct.
+        """
+        options: list[set[str] | None] = []
+        forms: set[str] | None = None
+        for w, short in marked:
+            o = set(self._spelled(w)) if short else {w} & self.by_word.keys()
+            options.append(o or None)
+            if o and w not in _CONNECTIVES:
+                with_word = set().union(*(self.by_word[x] for x in o))
+                forms = with_word if forms is None else forms & with_word
+        least = sum(w not in _CONNECTIVES for w, _ in marked)
+        sizes = range(max(least, 1), len(marked) + 1)
+        near = [f for f in forms if f.count(" ") + 1 in sizes] if forms is not None else [f for n in sizes for f in self.by_size.get(n, ())]
+        ordered, sorted_ = [], []
+        for form in sorted(near):
+            words = form.split(" ")
+            if (r := _in_order(marked, options, words)) is not None:
+                ordered.append(" ".join(r))
+            if words == sorted(words) and (r := _in_any_order(marked, options, words)) is not None:
+                sorted_.append(" ".join(sorted(r)))
+        return ordered, sorted_
+
+    def _readings(self, value: str) -> tuple[list[str], list[str], list[str]]:
+        """What a value may read as: without a bracketed remark and connectives; with abbreviations written out; so in any order."""
+        plain: list[str] = []
+        ordered: list[str] = []
+        sorted_: list[str] = []
         unbracketed = _PARENS.sub(" ", value)
         for text in dict.fromkeys((value, unbracketed)):
             raw = re.findall(r"[a-z0-9]+\.?", fold_text(text))
-            options: list[list[str]] = []
-            for w in raw:
-                word = w.rstrip(".")
-                spelled = [word]
-                if w.endswith(".") and word not in self.words:
-                    spelled += sorted(x for x in self.words if x.startswith(word))[:4] or sorted(x for x in self.words if len(word) > 2 and _shortens(word, x))[:4]
-                options.append(spelled)
-            total = 1
-            for o in options:
-                total *= len(o)
-            if total > 64:
-                options = [o[-1:] if len(o) == 2 else o[:1] for o in options]
-            for words in product(*options):
-                out.append(" ".join(words))
-                bare = [w for w in words if w not in _CONNECTIVES]
-                out.append(" ".join(bare))
-                out.append(" ".join(sorted(bare)))
-        return [r for r in dict.fromkeys(out) if r]
-
-    def lookup(self, value: str) -> str | None:
-        """The entry meant, or None; nearest first, then an entry before an alias, then by code points."""
-        readings = self._readings(value)
-        best: tuple[int, int, str] | None = None
-        for r in readings:
-            hit = self.exact.get(r)
-            if hit and (best is None or (0, *hit) < best):
-                best = (0, *hit)
-        if best:
-            return best[2]
+            marked = [(w.rstrip("."), w.endswith(".") and w.rstrip(".") not in self.words) for w in raw]
+            words = [w for w, _ in marked]
+            bare = [w for w in words if w not in _CONNECTIVES]
+            plain += [" ".join(words), " ".join(bare), " ".join(sorted(bare))]
+            if any(short for _, short in marked):
+                a, b = self._written_out(marked)
+                ordered += a
+                sorted_ += b
+        return tuple([r for r in dict.fromkeys(x) if r] for x in (plain, ordered, sorted_))
+
+    def nearest(self, value: str) -> tuple[int, int, str] | None:
+        """(distance, rank, entry) of the entry meant, or None; nearest first, then an entry before an alias, then by code points."""
+        plain, ordered, sorted_ = self._readings(value)
+        hits = [self.exact[r] for r in plain if r in self.exact]
+        if hits:
+            return (0, *min(hits))
         letters = "".join(keyed(value))
         bare = "".join(keyed(_PARENS.sub(" ", value)))
         for s in (letters, bare):
             if s in self.short:
-                return self.short[s]
-        for r in readings:
+                return (0, 0, self.short[s])
+        # an abbreviated value in the order of an entry's words goes before one in any order
+        for readings in (ordered, sorted_):
+            hits = [self.exact[r] for r in readings if r in self.exact]
+            if hits:
+                return (0, *min(hits))
+        best: tuple[int, int, str] | None = None
+        for r in dict.fromkeys((*plain, *ordered, *sorted_)):
             for d, key in self.tree.within(r, radius(len(r))):
                 rank, entry = self.exact[key]
                 # another name must be closer than an entry itself, and is never bent by more than one edit
@@ -183,9 +219,57 @@ class EntryIndex:
                     continue
                 if best is None or (d, rank, entry) < best:
                     best = (d, rank, entry)
+        return best
+
+    def lookup(self, value: str) -> str | None:
+        """The entry meant, or None."""
+        best = self.nearest(value)
         return best[2] if best else None
 
 
+def _in_order(marked: list[tuple[str, bool]], options: list[set[str] | None], words: list[str]) -> list[str] | None:
+    """A value's words read as those of a form one by one, connectives of the value skipped where they are none of the form's; None if they do not fit."""
+    failed: set[tuple[int, int]] = set()
+    stack: list[tuple[int, int, tuple[str, ...]]] = [(0, 0, ())]
+    while stack:
+        i, j, read = stack.pop()
+        if (i, j) in failed:
+            continue
+        failed.add((i, j))
+        if i == len(marked):
+            if j == len(words):
+                return list(read)
+            continue
+        w, o = marked[i][0], options[i]
+        if w in _CONNECTIVES:
+            stack.append((i + 1, j, read))
+        if j < len(words) and (o is None or words[j] in o):
+            stack.append((i + 1, j + 1, (*read, words[j] if o is not None else w)))
+    return None
+
+
+def _in_any_order(marked: list[tuple[str, bool]], options: list[set[str] | None], words: list[str]) -> list[str] | None:
+    """As ``_in_order`` for words in any order: a matching of the value's words, its connectives left out, with all words of a form."""
+    rows = [k for k, (w, _) in enumerate(marked) if w not in _CONNECTIVES]
+    if len(rows) != len(words):
+        return None
+    known = [k for k in rows if options[k] is not None]
+    owner: dict[int, int] = {}
+
+    def place(k: int, seen: set[int]) -> bool:
+        for j, x in enumerate(words):
+            if j not in seen and x in options[k]:
+                seen.add(j)
+                if j not in owner or place(owner[j], seen):
+                    owner[j] = k
+                    return True
+        return False
+
+    if not all(place(k, set()) for k in known):
+        return None
+    return [words[j] for j in owner] + [marked[k][0] for k in rows if options[k] is None]
+
+
 _SHARED: dict[str, tuple[EntryIndex, dict[str, str | None]]] = {}
 _MEMO_LIMIT = 200_000
 
