@@ -3,44 +3,125 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import accumulate, product
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import chars
 from ..runtime import unclash
-from .wordhash import Words, ngram_hashes, words_of
+from .wordhash import Words, words_of
 
-#: Words of the n-grams that seed a comparison.
-NGRAM = 6
 #: Words of a passage that must stand in the document in their order.
 LEAST_WORDS = 30
-#: Evaluation items that may be broadcast, and characters of their passages in all.
-MAX_ITEMS, MAX_CHARS = 100_000, 200_000_000
+#: Characters of passages whose index is broadcast at once; longer lists are compared shard by shard.
+MAX_CHARS = 100_000_000
+#: Seed hits that are verified at a time.
+BLOCK = 2_000_000
+
+
+def _avoided(n: int, kept: frozenset[str]) -> int | None:
+    """Length of the longest sequence of gaps that holds none of the patterns ``kept`` of ``n`` gaps, None if there is no longest."""
+    steps: dict[str, list[str]] = {}
+    for w in map("".join, product("12", repeat=n)):
+        if w not in kept:
+            steps.setdefault(w[:-1], []).append(w[1:])
+    best: dict[str, int | None] = {}
+
+    def walk(v: str) -> int:
+        if v in best:
+            if best[v] is None:
+                raise RecursionError
+            return best[v]
+        best[v] = None
+        best[v] = max((1 + walk(u) for u in steps.get(v, ())), default=0)
+        return best[v]
+
+    try:
+        return max((walk(v) for v in list(steps)), default=0) + n - 1
+    except RecursionError:
+        return None
+
+
+@lru_cache
+def seed_patterns(least: int) -> tuple[tuple[int, ...], ...]:
+    """Word offsets of the seeds: every stretch of ``least`` words without two replaced neighbours holds one of them.
+
+    Between the equal words of such a stretch lie gaps of one or two places. From each class of
+    gap patterns that turn into each other by rotation one pattern is taken, so that the set cannot
+    be avoided by any longer sequence (as in a de Bruijn graph without cycles); the longest patterns
+    that ``least`` words must hold are used, since longer seeds meet by chance less often.
+    """
+    gaps = (least + 1) // 2 - 1  # with every second word replaced
+    for n in (4, 3, 2):
+        classes: dict[str, set[str]] = {}
+        for w in map("".join, product("12", repeat=n)):
+            classes.setdefault(min(w[i:] + w[:i] for i in range(n)), set()).add(w)
+        tried = ((_avoided(n, frozenset(c)), c) for c in product(*(sorted(x) for x in classes.values())))
+        length, chosen = min((x for x in tried if x[0] is not None), default=(gaps, ()))
+        if length < gaps:
+            return tuple((0, *accumulate(int(g) for g in c)) for c in chosen)
+    return ((0, 1), (0, 2))
+
+
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+
+
+def seed_hashes(w: Words, patterns: tuple[tuple[int, ...], ...], passes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of each seed that stands in one text; with ``passes`` (a power of two of flags), of those whose flag is set."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    with np.errstate(over="ignore"):
+        times = [w.hash * f for f in _FACTORS[: len(patterns[0])]]
+        for no, offsets in enumerate(patterns):
+            m = len(w.hash) - offsets[-1]
+            if m <= 0:
+                continue
+            g = times[0][:m] + np.uint64(no) * np.uint64(0xE7037ED1A0B428DB)
+            for k, o in enumerate(offsets[1:], 1):
+                g += times[k][o : o + m]
+            at = np.arange(m) if passes is None else np.flatnonzero(passes[g >> np.uint64(65 - len(passes).bit_length())])
+            at = at[w.text[at] == w.text[at + offsets[-1]]]
+            found.append((g[at], at))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(none, *found, strict=True))
 
 
 class ItemIndex:
-    """The n-grams of all passages as one sorted hash array, with the places they stand at."""
+    """The seeds of all passages as one sorted hash array, with the places they stand at."""
 
-    def __init__(self, passages: Sequence[str | None], n: int):
+    def __init__(self, ids: Sequence, passages: Sequence[str | None], least: int):
         w = words_of(passages)
-        self.n, self.words = n, w.hash
+        self.ids, self.words = list(ids), w.hash
+        self.patterns = seed_patterns(least)
         self.first = np.searchsorted(w.text, np.arange(len(passages) + 1))
-        g, at = ngram_hashes(w.hash, w.text, n)
+        g, at = seed_hashes(w, self.patterns)
         order = np.argsort(g, kind="stable")
-        self.grams, self.at, self.item = g[order], at[order], w.text[at[order]]
+        self.seeds, self.at = g[order], at[order]
+        # a bit of the hash in a table tells most words of a document at once
+        self.passes = np.zeros(1 << min(max(len(g) * 16, 1 << 10).bit_length(), 26), dtype=bool)
+        self.passes[g >> np.uint64(65 - len(self.passes).bit_length())] = True
         self.longest = int(np.diff(self.first).max(initial=0))
 
-    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(word of the batch, word of the passages) of each n-gram in common."""
-        g, at = ngram_hashes(w.hash, w.text, self.n)
-        lo, hi = np.searchsorted(self.grams, g, "left"), np.searchsorted(self.grams, g, "right")
-        many = hi - lo
+    def hits(self, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word of the batch, word of the passages) of each seed in common, at most about ``BLOCK`` at a time."""
+        g, at = seed_hashes(w, self.patterns, self.passes)
+        lo = np.searchsorted(self.seeds, g, "left")
+        many = np.searchsorted(self.seeds, g, "right") - lo
         met = np.flatnonzero(many)
         many, lo, at = many[met], lo[met], at[met]
-        place = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(at, many), self.at[place]
+        total = np.cumsum(many)
+        start = 0
+        while start < len(many):
+            before = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, before + BLOCK, "right")))
+            n, s, a = many[start:end], lo[start:end], at[start:end]
+            place = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(a, n), self.at[place]
+            start = end
 
 
 def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -64,85 +145,90 @@ def leaks(texts: Sequence[str | None], index: ItemIndex, least: int) -> tuple[Wo
     of the stretch they stand in.
     """
     w = words_of(texts)
-    doc_at, item_at = index.hits(w)
-    item = np.searchsorted(index.first, item_at, "right") - 1
-    shift = doc_at - item_at
-    if not len(shift):
-        return w, []
-    # a shift names one alignment only within one document
-    seen = np.unique(np.stack([w.text[doc_at], item, shift]), axis=1)
-    out: list[tuple[int, int, int, int]] = []
     begin = np.searchsorted(w.text, np.arange(len(texts) + 1))
     span = np.arange(index.longest)
     step = max(1, 4_000_000 // max(1, index.longest))
-    for a in range(0, seen.shape[1], step):
-        doc, it, sh = seen[:, a : a + step]
-        pos = index.first[it][:, None] + span
-        at = pos + sh[:, None]
-        valid = (pos < index.first[it + 1][:, None]) & (at >= begin[doc][:, None]) & (at < begin[doc + 1][:, None])
-        equal = valid & (w.hash[np.clip(at, 0, len(w.hash) - 1)] == index.words[np.clip(pos, 0, len(index.words) - 1)])
-        # no stretch of `least` words has fewer than half of them equal
-        for k in np.flatnonzero(equal.sum(axis=1) >= (least + 1) // 2):
-            s, e = longest_stretch(equal[k])
-            if e - s >= least:
-                base = int(index.first[it[k]] + sh[k])
-                out.append((int(doc[k]), int(it[k]), base + s, base + e))
-    return w, out
-
-
-def _items(items: DataFrame, id_col: str, passage_col: str) -> tuple[list, list[str]]:
-    """Ids and passages, checked against the broadcast bound."""
-    rows = items.select(id_col, passage_col).where(F.col(passage_col).isNotNull()).orderBy(id_col, passage_col).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS or sum(len(r[1]) for r in rows) > MAX_CHARS:
-        raise ValueError(f"more than {MAX_ITEMS} items or {MAX_CHARS} characters; run over parts of the items and unite the results")
-    return [r[0] for r in rows], [r[1] for r in rows]
-
-
-def find_leaks(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id: str, passage_col: str, *, n: int = NGRAM, least: int = LEAST_WORDS) -> DataFrame:
+    out: set[tuple[int, int, int, int]] = set()
+    for doc_at, item_at in index.hits(w):
+        # a shift names one alignment only within one document; a block of hits may repeat one of an earlier block
+        key = np.unique(np.stack([w.text[doc_at], np.searchsorted(index.first, item_at, "right") - 1, doc_at - item_at]), axis=1)
+        for a in range(0, key.shape[1], step):
+            doc, it, sh = key[:, a : a + step]
+            pos = index.first[it][:, None] + span
+            at = pos + sh[:, None]
+            valid = (pos < index.first[it + 1][:, None]) & (at >= begin[doc][:, None]) & (at < begin[doc + 1][:, None])
+            equal = valid & (w.hash[np.clip(at, 0, len(w.hash) - 1)] == index.words[np.clip(pos, 0, len(index.words) - 1)])
+            # no stretch of `least` words has fewer than half of them equal
+            for k in np.flatnonzero(equal.sum(axis=1) >= (least + 1) // 2):
+                s, e = longest_stretch(equal[k])
+                if e - s >= least:
+                    base = int(index.first[it[k]] + sh[k])
+                    out.add((int(doc[k]), int(it[k]), base + s, base + e))
+    return w, sorted(out)
+
+
+def _shards(items: DataFrame, id_col: str, passage_col: str, least: int, most: int) -> list[Broadcast]:
+    """Indexes of all passages, broadcast: one where the passages hold at most ``most`` characters, else one per hash shard of the items.
+
+    The passages are measured before any is read to the driver, and read one shard at a time. A
+    document is compared with every shard, so a long list costs more passes and no result.
+    """
+    known = items.select(id_col, passage_col).where(F.col(passage_col).isNotNull())
+    chars = known.agg(F.sum(F.length(passage_col))).first()[0] or 0
+    n = -(-chars // most) or 1
+    out = []
+    for k in range(n):
+        rows = known.where(F.pmod(F.xxhash64(passage_col), F.lit(n)) == k).orderBy(id_col, passage_col).collect()
+        out.append(items.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], least)))
+    return out
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id: str, passage_col: str, *, least: int = LEAST_WORDS, most: int = MAX_CHARS) -> DataFrame:
     """(doc_id, item_id) of each document in which at least ``least`` words of the item's passage stand in their order.
 
-    The items are broadcast (their bound is checked); documents are only mapped, so the operator
-    never shuffles, and copies of a document are each reported. Case, accents, punctuation, layout,
-    look-alike and invisible characters and single replaced words do not matter. Seeds are runs of
-    ``n`` words, so a stretch must hold ``n`` unreplaced words on end somewhere. NULL and empty
-    texts contain nothing; passages under ``least`` words cannot leak; an item is reported once per
-    document row.
+    The index of the items is broadcast and lives once in a worker (their size is measured; beyond
+    ``most`` characters the items go in shards); documents are only mapped, so the operator never
+    shuffles, and copies of a document are each reported. Case, accents, punctuation, layout,
+    look-alike and invisible characters and single replaced words do not matter, however many of
+    them are replaced; a word put in or left out ends a stretch. NULL and empty texts contain
+    nothing; passages under ``least`` words cannot leak; an item is reported once per document row.
     """
-    ids, passages = _items(items, item_id, passage_col)
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
+    shards = _shards(items, item_id, passage_col, least, most)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = ItemIndex(passages, n)
         for b in batches:
             for k in range(0, len(b), 256):
                 part = b.iloc[k : k + 256]
-                _, found = leaks(list(part.iloc[:, 1]), index, least)
-                pairs = sorted({(d, ids[i]) for d, i, _, _ in found})
-                yield pd.DataFrame({"doc": [part.iloc[d, 0] for d, _ in pairs], "item": [i for _, i in pairs]})
+                for shard in shards:
+                    index = shard.value
+                    _, found = leaks(list(part.iloc[:, 1]), index, least)
+                    pairs = sorted({(d, i) for d, i, _, _ in found})
+                    yield pd.DataFrame({"doc": [part.iloc[d, 0] for d, _ in pairs], "item": [index.ids[i] for _, i in pairs]})
 
-    return docs.select(doc_id, text_col).where(F.col(text_col).isNotNull()).mapInPandas(scan, f"`doc` {kinds[0]}, `item` {kinds[1]}").select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
+    found = docs.select(doc_id, text_col).where(F.col(text_col).isNotNull()).mapInPandas(scan, f"`doc` {kinds[0]}, `item` {kinds[1]}")
+    return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
 
 
-def remove_leaks(docs: DataFrame, text_col: str, items: DataFrame, item_id: str, passage_col: str, *, n: int = NGRAM, least: int = LEAST_WORDS, out: str = "clean_text") -> DataFrame:
-    """Adds ``out``: the text without the leaked stretches, overlapping ones joined. NULL stays NULL; a text without leaks stays as it is."""
-    _, passages = _items(items, item_id, passage_col)
+def remove_leaks(docs: DataFrame, text_col: str, items: DataFrame, item_id: str, passage_col: str, *, least: int = LEAST_WORDS, most: int = MAX_CHARS, out: str = "clean_text") -> DataFrame:
+    """Adds ``out``: the text without the leaked stretches, overlapping ones joined; what is left stands as it was. NULL stays NULL; a text without leaks stays as it is."""
+    shards = _shards(items, item_id, passage_col, least, most)
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = ItemIndex(passages, n)
         for s in batches:
-            texts = [None if v is None else _expanded(v) for v in s]
             values: list[str | None] = list(s)
-            for k in range(0, len(texts), 256):
-                part = texts[k : k + 256]
-                w, found = leaks(part, index, least)
-                offset = np.concatenate(([0], np.flatnonzero(w.points == 0) + 1))
+            for k in range(0, len(values), 256):
+                part = values[k : k + 256]
                 spans: dict[int, list[tuple[int, int]]] = {}
-                for d, _, a, e in found:
-                    spans.setdefault(d, []).append((int(w.start[a] - offset[d]), int(w.end[e - 1] - offset[d])))
+                for shard in shards:
+                    w, found = leaks(part, shard.value, least)
+                    offset = np.concatenate(([0], np.flatnonzero(w.points == 0) + 1))
+                    for d, _, a, e in found:
+                        spans.setdefault(d, []).append((int(w.start[a] - offset[d]), int(w.end[e - 1] - offset[d])))
                 for d, cut in spans.items():
-                    text, kept, last = part[d], [], 0
-                    for a, e in sorted(cut):
+                    text, at, kept, last = part[d], _places(part[d]), [], 0
+                    for a, e in sorted((at[a], at[e - 1] + 1) for a, e in cut):
                         if a > last:
                             kept.append(text[last:a])
                         last = max(last, e)
@@ -152,11 +238,7 @@ def remove_leaks(docs: DataFrame, text_col: str, items: DataFrame, item_id: str,
     return docs.withColumn(unclash(docs, out)[0], cleaned(F.col(text_col)))
 
 
-def _expanded(text: str) -> str:
-    """Joined letters written out, as the word arrays count positions."""
-    from ..functions import chars
-
-    for k, v in chars.joined_letters().items():
-        if len(v) > 1 and k in text:
-            text = text.replace(k, v)
-    return text.replace("\x00", " ")
+def _places(text: str) -> list[int]:
+    """For each position of the text with joined letters written out, as word arrays count, its position in the text itself."""
+    joined = chars.joined_letters()
+    return [i for i, c in enumerate(text) for _ in joined.get(c, c)]

@@ -57,6 +57,15 @@ def _shortens(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
+def deletions(word: str, edits: int = 2) -> set[str]:
+    """A word and its forms with up to ``edits`` characters deleted; two words within ``edits`` edits share one."""
+    out = last = {word}
+    for _ in range(edits):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
 def radius(n: int) -> int:
     """Edits allowed for a key of ``n`` characters: none below 4, one below 12, two below 30, else three."""
     return 0 if n < 4 else 1 if n < 12 else 2 if n < 30 else 3
@@ -129,10 +138,31 @@ class EntryIndex:
             self.by_size.setdefault(len(words), set()).add(key)
             for w in words:
                 self.by_word.setdefault(w, set()).add(key)
+        self.deletions = {x for w in self.by_word if w not in _CONNECTIVES for x in deletions(w)}
+        self.lone = any(" " not in k for k in self.exact)
+        self._near: dict[str, bool] = {}
         self.by_letter: dict[str, list[str]] = {}
         for w in sorted(self.by_word):
             self.by_letter.setdefault(w[0], []).append(w)
 
+    def _hopeful(self, reading: str) -> bool:
+        """False where no key can be within three edits: of three or more words none is within two edits of a word of the list.
+
+        A symmetric-delete set over the list's words decides it. Fewer words, and keys of one word, are always searched.
+        """
+        words = [w for w in reading.split(" ") if w not in _CONNECTIVES]
+        if len(words) < 3 or self.lone:
+            return True
+        for w in words:
+            near = self._near.get(w)
+            if near is None:
+                if len(self._near) > _MEMO_LIMIT:
+                    self._near.clear()
+                near = self._near[w] = not self.deletions.isdisjoint(deletions(w))
+            if near:
+                return True
+        return False
+
     def _put(self, key: str, rank: int, entry: str) -> None:
         if key and (key not in self.exact or (rank, entry) < self.exact[key]):
             self.exact[key] = (rank, entry)
@@ -212,6 +242,8 @@ class EntryIndex:
                 return (0, *min(hits))
         best: tuple[int, int, str] | None = None
         for r in dict.fromkeys((*plain, *ordered, *sorted_)):
+            if not self._hopeful(r):
+                continue
             for d, key in self.tree.within(r, radius(len(r))):
                 rank, entry = self.exact[key]
                 # another name must be closer than an entry itself, and is never bent by more than one edit

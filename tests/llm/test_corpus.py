@@ -83,6 +83,57 @@ def test_leaks_against_brute_force(spark):
     assert leakage.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
 
 
+@pytest.mark.parametrize("every", [2, 3, 4, 5, 6, 7])
+def test_every_pattern_of_single_replaced_words(every):
+    rnd = random.Random(every)
+    item = [f"c{i}" for i in range(31)]
+    index = leakage.ItemIndex([5], [" ".join(item)], 30)
+    for start in range(1, every + 1):
+        q = [w if (i - start) % every else "altul" for i, w in enumerate(item)]
+        equal = [i for i, w in enumerate(q) if w != "altul"]
+        want = equal[-1] - equal[0] + 1 >= 30
+        assert bool(leakage.leaks([" ".join(["a", *q, "b"])], index, 30)[1]) == want
+    for _ in range(100):
+        gone = [i for i in range(1, 30) if rnd.random() < 0.6]
+        gone = [i for k, i in enumerate(gone) if not k or i - gone[k - 1] > 1]
+        q = ["altul" if i in gone else w for i, w in enumerate(item)]
+        if all(b - a > 1 for a, b in zip(gone, gone[1:], strict=False)):
+            assert leakage.leaks([" ".join(q)], index, 30)[1]
+
+
+@pytest.mark.parametrize("least", [3, 5, 9, 13, 19, 30])
+def test_no_stretch_avoids_the_seeds(least):
+    pats = leakage.seed_patterns(least)
+    gaps = (least + 1) // 2 - 1
+    forms = {tuple(b - a for a, b in zip(p, p[1:], strict=False)) for p in pats}
+    n = len(pats[0]) - 1
+    for seq in range(1 << min(gaps, 14)):
+        s = [1 + (seq >> k & 1) for k in range(min(gaps, 14))]
+        assert any(tuple(s[k : k + n]) in forms for k in range(len(s) - n + 1))
+
+
+def test_leaks_in_shards_and_blocks(spark, monkeypatch):
+    rnd = random.Random(3)
+    passages = [" ".join(rnd.choices([f"w{i}" for i in range(6)], k=35)) for _ in range(12)]
+    texts = [" ".join(rnd.sample(passages, 2)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id bigint, passage string")
+    got = [{tuple(r) for r in leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "passage", most=m).collect()} for m in (10**6, 300)]
+    assert got[0] == got[1] == brute_leaks(texts, passages, 30)
+    index = leakage.ItemIndex(range(12), passages, 30)
+    whole = leakage.leaks(texts, index, 30)[1]
+    monkeypatch.setattr(leakage, "BLOCK", 7)
+    assert leakage.leaks(texts, index, 30)[1] == whole
+
+
+def test_removal_leaves_the_rest_as_it_is(spark):
+    p = " ".join(f"cuvânt{i}" for i in range(32))
+    text = "ﬁe\u0000ce ﬂuviu: " + p.replace("cuvânt3 ", "ﬁn ") + " ﬁnal\u0000."
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, p)], "item_id bigint, passage string")
+    assert leakage.remove_leaks(docs, "text", items, "item_id", "passage").first().clean_text == "ﬁe\u0000ce ﬂuviu:  ﬁnal\u0000."
+
+
 def test_sentences():
     w = words_of(["Conform art. 5 alin. (2), nu. Da! Așa e?\n\nCapitol nou\nrând. mic", None, "Al doilea. „Citat.” Fin"])
     s = subjects.sentences_of(w)
