@@ -121,8 +121,8 @@ CODE_NAMES = {
 # Month names.
 MONTHS = ("ianuarie", "februarie", "martie", "aprilie", "mai", "iunie", "iulie", "august", "septembrie", "octombrie", "noiembrie", "decembrie")
 
-# First words that citations are written with, and their capitalised forms.
-LAW_WORDS = ("legea", "lege", "legii", "ordonanța", "ordonanței", "ordonanta", "hotărârea", "hotărârii", "codul", "constituția", "decretul")
+# First words of entities that are written with a capital.
+LAW_WORDS = ("legea", "codul", "hotărârea", "ordonanța", "decretul", "constituția", "monitorul", "parlamentul", "guvernul", "președintele", "ministerul")
 
 # Weights of the compliance score.
 SCORE_WEIGHTS = {"relation_jaccard": 0.20, "relation_distribution_cosine": 0.15, "node_jaccard": 0.10, "triple_jaccard": 0.05, "axiom_conformance": 0.50}

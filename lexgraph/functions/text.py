@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -133,21 +132,8 @@ def roman_to_int(c: Column) -> Column:
     return F.when(c.isNull(), None).when(c.rlike("^[IVXLCDM]+$"), total).otherwise(-1)
 
 
-def article_base(c: Column) -> Column:
-    """Whole number of an article label: 14 of '14^2', 3 of 'III', 0 of 'unic', -1 of anything else."""
-    return (
-        F.when(F.lower(c) == "unic", 0)
-        .when(c.rlike(r"^[0-9]+(\^[0-9]+)?$"), F.regexp_extract(c, "^([0-9]+)", 1).try_cast("int"))
-        .otherwise(roman_to_int(c))
-    )
-
-
 def normalize_relation(c: Column) -> Column:
     """The vocabulary entry of a relation by itself or by a synonym, else NULL."""
     key = F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_"))
     known = F.create_map(*(F.lit(x) for r in RELATIONS for x in (r, r)), *(F.lit(x) for k, v in RELATION_SYNONYMS.items() for x in (k, v)))
     return F.try_element_at(known, key)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions)

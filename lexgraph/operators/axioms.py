@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,16 +60,22 @@ def tail_domain(df: DataFrame, domains: Mapping[str, Sequence[str]] = TAIL_DOMAI
     return _edges(df, list(domains)).where(bad)
 
 
-def two_hops(df: DataFrame, relations: Sequence[str] = TRANSITIVE) -> DataFrame:
+def two_hops(df: DataFrame, relations: Sequence[str] = TRANSITIVE, *, per_task: int = 1_000_000) -> DataFrame:
     """(relation, a, b, c, n_paths) of the chains a -> b -> c under each relation, cycles and self-loops included.
 
     Parallel edges are counted before the join and multiplied after it: same bag of chains, but a
-    repeated edge takes part once.
+    repeated edge takes part once. A middle node with more than ``per_task`` chains is split by its
+    measured in- and out-degree: its ingoing edges are spread over as many salts as it needs and its outgoing ones
+    meet each of them, so that no task builds many more than ``per_task`` chains.
     """
     e = _edges(df, relations).groupBy(*EDGE).agg(F.count("*").alias("k"))
-    left = e.select("relation", F.col("head").alias("a"), F.col("tail").alias("b"), F.col("k").alias("k1"))
-    right = e.select("relation", F.col("head").alias("b"), F.col("tail").alias("c"), F.col("k").alias("k2"))
-    return left.join(right, ["relation", "b"]).select("relation", "a", "b", "c", (F.col("k1") * F.col("k2")).alias("n_paths"))
+    ends = F.array(F.struct(F.col("tail").alias("b"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("head").alias("b"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    per = e.select("relation", F.explode(ends).alias("x")).groupBy("relation", "x.b").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
+    hubs = per.where(F.col("i") * F.col("o") > per_task).select("relation", "b", F.least(F.ceil(F.col("i") * F.col("o") / F.lit(per_task)), F.col("i")).cast("int").alias("n"))
+    n = F.coalesce("n", F.lit(1))
+    left = e.select("relation", F.col("head").alias("a"), F.col("tail").alias("b"), F.col("k").alias("k1")).join(hubs, ["relation", "b"], "left").withColumn("s", F.pmod(F.xxhash64("a"), n).cast("int")).drop("n")
+    right = e.select("relation", F.col("head").alias("b"), F.col("tail").alias("c"), F.col("k").alias("k2")).join(hubs, ["relation", "b"], "left").withColumn("s", F.explode(F.sequence(F.lit(0), n - 1))).drop("n")
+    return left.join(right, ["relation", "b", "s"]).select("relation", "a", "b", "c", (F.col("k1") * F.col("k2")).alias("n_paths"))
 
 
 def two_hop_count(df: DataFrame, relations: Sequence[str] = TRANSITIVE) -> DataFrame:
@@ -85,20 +92,25 @@ def provenance(law_id: str = "law_id", article: str = "article_number"):
     return F.when(law.isNull(), "").when(art.isNull(), F.format_string(" (%s)", law)).otherwise(F.format_string(" (%s / art %s)", law, art))
 
 
-def all_violations(df: DataFrame) -> DataFrame:
-    """(axiom, relation, a, b) of every violation; chains of the transitive axiom are listed by their ends."""
-    parts = [
+def _single_row_axioms(df: DataFrame) -> list[DataFrame]:
+    return [
         functional(df).select(F.lit("functional").alias("axiom"), "relation", F.col("head").alias("a"), F.col("n_tails").cast("string").alias("b")),
         asymmetric(df).select(F.lit("asymmetric").alias("axiom"), "relation", "a", "b"),
         irreflexive(df).select(F.lit("irreflexive").alias("axiom"), "relation", F.col("head").alias("a"), F.col("tail").alias("b")),
         symmetric(df).select(F.lit("symmetric").alias("axiom"), "relation", F.col("head").alias("a"), F.col("tail").alias("b")),
         tail_domain(df).select(F.lit("domain").alias("axiom"), "relation", F.col("head").alias("a"), F.col("tail").alias("b")),
-        two_hops(df).select(F.lit("transitive").alias("axiom"), "relation", "a", F.col("c").alias("b")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+
+def all_violations(df: DataFrame) -> DataFrame:
+    """(axiom, relation, a, b) of every violation; chains of the transitive axiom are listed by their ends, once per middle node."""
+    return reduce(DataFrame.unionByName, [*_single_row_axioms(df), two_hops(df).select(F.lit("transitive").alias("axiom"), "relation", "a", F.col("c").alias("b"))])
+
+
+def violations_by_axiom(df: DataFrame) -> DataFrame:
+    """(axiom, relation, n) of the violations; chains are counted, repeated edges included, without building them."""
+    listed = reduce(DataFrame.unionByName, _single_row_axioms(df)).groupBy("axiom", "relation").agg(F.count("*").alias("n"))
+    return listed.unionByName(two_hop_count(df).where("n_paths > 0").select(F.lit("transitive").alias("axiom"), "relation", F.col("n_paths").alias("n")))
 
 
 def violation_counts(df: DataFrame, by: Sequence[str] = (), domains: Mapping[str, Sequence[str]] = TAIL_DOMAIN, vocabulary: Sequence[str] = RELATIONS) -> DataFrame:

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..constants import REGEX_CONFIDENCE
 from ..functions.text import comma_below
 
-_N = r"\d[\d.]*\s*/\s*\d{4}"
-# The written forms of a citation, in the order in which they are tried.
+_N = r"nr\.?\s*\d[\d.]*/\d{4}"
+# The written forms of a citation, in the order in which they are tried; dots and blanks of short forms may be missing.
 ACT_FORMS = (
-    rf"Leg(?:ea|ii)(?:-cadru)?\s+nr\.?\s*{_N}",
-    rf"Ordonanț(?:a|ei)\s+de\s+urgenț(?:ă|ei)(?:\s+a\s+Guvernului)?\s+nr\.?\s*{_N}",
-    rf"O\.\s*U\.\s*G\.\s+nr\.?\s*{_N}",
-    rf"Ordonanț(?:a|ei)(?:\s+Guvernului)?\s+nr\.?\s*{_N}",
-    rf"O\.\s*G\.\s+nr\.?\s*{_N}",
-    rf"Hotărâr(?:ea|ii)(?:\s+Guvernului)?\s+nr\.?\s*{_N}",
-    rf"H\.\s*G\.\s+nr\.?\s*{_N}",
+    rf"Leg(?:ea|ii)(?:-cadru)?\s+{_N}",
+    rf"Ordonanț(?:a|ei)\s+de\s+urgenț(?:ă|ei)\s+(?:a\s+Guvernului\s+)?{_N}",
+    rf"O\.?\s*U\.?\s*G\.?\s*{_N}",
+    rf"Ordonanț(?:a|ei)\s+(?:Guvernului\s+)?{_N}",
+    rf"O\.?\s*G\.?\s*{_N}",
+    rf"Hotărâr(?:ea|ii)\s+(?:Guvernului\s+)?{_N}",
+    rf"H\.?\s*G\.?\s*{_N}",
     r"Codul\s+(?:fiscal|muncii|administrativ|civil|penal|de\s+procedur(?:ă|ei)\s+civil(?:ă|ei)|de\s+procedur(?:ă|ei)\s+penal(?:ă|ei))",
     r"Constituți(?:a|ei)\s+României",
 )
@@ -53,23 +53,26 @@ def relation_of(word: Column) -> Column:
     return out
 
 
-def scan(text: Column) -> Column:
-    """array<struct(surface, start, end)> of the citations in a text: leftmost, not overlapping, offsets from 0.
+_MARK = "\x01"
 
-    Matches and the text between them are taken with one pattern, so that the running sum of their
-    lengths gives the offsets.
+
+def scan(text: Column, *, window: int = WINDOW) -> Column:
+    """array<struct(surface, before, after)> of the citations in a text: leftmost, not overlapping, with up to ``window`` characters on each side.
+
+    One pass of the pattern marks the citations; each then takes the few pieces around it that can
+    reach into its windows, so the cost is linear in text and citations.
     """
-    found = F.regexp_extract_all(text, F.lit(ACT), F.lit(0))
-    between = F.split(text, ACT, -1)
-    return F.aggregate(
-        F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<surface:string,start:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(x["m"].alias("surface"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    parts = F.split(F.regexp_replace(F.translate(text, _MARK, " "), ACT, f"{_MARK}$0{_MARK}"), _MARK)
+    near = 2 * (window // 10) + 3  # a citation has ten characters or more, so no window reaches further
+
+    def one(p: Column, j: Column) -> Column:
+        before = F.array_join(F.slice(p, F.greatest(j - near + 1, F.lit(1)), F.least(j, F.lit(near))), "")
+        after = F.array_join(F.slice(p, j + 2, F.lit(near)), "")
+        return F.struct(F.get(p, j).alias("surface"), F.right(before, F.lit(window)).alias("before"), F.left(after, F.lit(window)).alias("after"))
+
+    # the pieces are bound as a variable of an outer lambda, else each citation would mark the text anew
+    cited_at = lambda p: F.filter(F.transform(p, lambda _, j: j), lambda j: j % 2 == 1)
+    return F.get(F.transform(F.array(parts), lambda p: F.transform(cited_at(p), lambda j: one(p, j))), F.lit(0))
 
 
 def cited(docs: DataFrame, text: str, *, window: int = WINDOW) -> DataFrame:
@@ -80,11 +83,8 @@ def cited(docs: DataFrame, text: str, *, window: int = WINDOW) -> DataFrame:
     another act precedes does not count. Without a trigger the relation is the plain reference.
     """
     rest = [c for c in docs.columns if c != text]
-    t = docs.select(*rest, comma_below(F.col(text)).alias("_t"))
-    one = t.select(*rest, "_t", F.explode(scan(F.col("_t"))).alias("_m")).select(*rest, "_t", F.col("_m.surface").alias("surface"), F.col("_m.start").alias("_s"), F.col("_m.end").alias("_e"))
-    left = F.substring("_t", F.greatest(F.col("_s") - window, F.lit(0)) + 1, F.least(F.col("_s"), F.lit(window)))
-    right = F.substring("_t", F.col("_e") + 1, F.lit(window))
-    one = one.select(*rest, "surface", left.alias("_l"), right.alias("_r"))
+    marked = docs.select(*rest, F.explode(scan(comma_below(F.col(text)), window=window)).alias("_m"))
+    one = marked.select(*rest, F.col("_m.surface").alias("surface"), F.col("_m.before").alias("_l"), F.col("_m.after").alias("_r"))
     both = F.concat("_l", "surface", "_r")
     # a greedy prefix leaves the rightmost trigger
     one = one.withColumn("_c", F.regexp_extract(both, COMPOUND, 1)).withColumn("_c2", F.regexp_extract(both, COMPOUND, 2))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,7 +55,7 @@ def find_orphans(
     valid_from: str,
     valid_to: str,
     match: str = "simple",
-    salts: int = 8,
+    sample: float = 0.01,
 ) -> DataFrame:
     """The rows of ``refs`` whose composite key no row of ``registry`` holds at the time ``at``.
 
@@ -70,8 +71,9 @@ def find_orphans(
     'missing' - no row of that key; 'late' - all its rows begin after ``at``; 'deleted' - otherwise.
     A reference whose ``at`` is null is reported only as 'missing', as the others cannot be told.
 
-    Hot keys: the registry side is replicated over ``salts`` and references spread by row hash,
-    so one key holding a third of all references is shared by ``salts`` tasks; the planner
+    Hot keys are those with more than 1/200 of the references of a random ``sample``, so there are
+    at most 200 of them; each is spread over twice as many salts as its share has two-hundredths, and only its registry
+    row is replicated. The sample decides where rows meet, never what is found. The planner
     broadcasts the registry only when its measured size is below the session's threshold.
     Repeated rows, extra columns and empty tables pass through unchanged.
     """
@@ -93,14 +95,15 @@ def find_orphans(
     )
     served = registry.select(F.explode(F.array_compact(per_mask)).alias("mk"), F.col(valid_from), F.col(valid_to)).select("mk.m", "mk.k", valid_from, valid_to)
     held = holding_islands(served, ["m", "k"], valid_from, valid_to)
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
+    salts = _salts_of_hot_keys(refs, keys, sample)
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), salts(F.col("m"), F.col("k")) - 1))).select(
         F.col("m").alias("h_m"), F.col("k").alias("h_k"), F.col("salt").alias("h_salt"), F.col("islands").alias("h_islands"), F.col("first_s").alias("h_first")
     )
     cols = [F.col(c) for c in keys]
     tagged = (
         refs.withColumn(mask_c, _mask(cols))
         .withColumn(key_c, _key(cols))
-        .withColumn(salt_c, F.pmod(F.xxhash64(*(F.col(c) for c, t in refs.dtypes if not t.startswith("map"))), F.lit(salts)).cast("int"))
+        .withColumn(salt_c, F.pmod(F.xxhash64(*(F.col(c) for c, t in refs.dtypes if not t.startswith("map"))), salts(F.col(mask_c), F.col(key_c))).cast("int"))
         .where(F.col(mask_c).contains("1"))
     )
     if match == "simple":
@@ -112,6 +115,23 @@ def find_orphans(
     return joined.withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull()).select(*refs.columns, "orphan_kind")
 
 
+#: A key is hot with more than this share of the sampled references.
+HOT = 1 / 200
+
+
+def _salts_of_hot_keys(refs: DataFrame, keys: list[str], sample: float) -> Callable[[Column, Column], Column]:
+    """(mask, key) -> number of salts: 1 but for the hot keys of a sample, of which there are at most 1 / HOT."""
+    cols = [F.col(c) for c in keys]
+    counts = refs.sample(sample, seed=7).select(_mask(cols).alias("m"), _key(cols).alias("k")).groupBy("m", "k").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    hot = counts.crossJoin(F.broadcast(total)).where((F.col("n") > F.col("total") * HOT) & (F.col("n") > 20)).select("m", "k", F.ceil(2 * F.col("n") / (F.col("total") * HOT)).cast("int").alias("s"))  # one row of total
+    found = [(F.concat_ws(" ", F.lit(r.m), F.lit(r.k)), F.lit(r.s)) for r in hot.collect()]
+    if not found:
+        return lambda mask, key: F.lit(1)
+    known = F.create_map(*(x for pair in found for x in pair))
+    return lambda mask, key: F.coalesce(F.try_element_at(known, F.concat_ws(" ", mask, key)), F.lit(1))
+
+
 def _usable(cols: list[Column], mask: str) -> Column:
     """A registry row serves a mask when all of the mask's columns are non-null in it."""
     out = F.lit(True)

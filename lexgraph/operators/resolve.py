@@ -86,44 +86,56 @@ def resolve(df: DataFrame, col: str, aliases: DataFrame | None, out: str = "reso
     return keyed.withColumn(out, F.coalesce(literal, F.col(a), code_name(F.col(k)), synthesize(F.col(k)))).drop(k, raw, a)
 
 
+# Characters that count as blanks in entities, besides white space.
+_BLANKS = r"[\u200b-\u200f\u2060\ufeff\u00a0]"
+
+
 def cleaned(c: Column) -> Column:
     """Composed, comma-below, single ordinary spaces, no punctuation at the edges."""
-    spaced = F.trim(F.regexp_replace(F.translate(comma_below(nfc(c)), " ​‌‍⁠﻿", "      "), r"(?U)\s+", " "))
+    spaced = F.regexp_replace(F.regexp_replace(comma_below(nfc(c)), _BLANKS, " "), r"(?U)[\s\x1c-\x1f]+", " ")
     return F.btrim(spaced, F.lit(EDGE_PUNCTUATION))
 
 
 def surface_form(c: Column) -> Column:
-    """Display form of an entity that is no known act: a leading law word capitalised, numbers of acts evenly spaced."""
-    first = F.lower(F.get(F.split(c, " "), F.lit(0)))
-    titled = F.when(first.isin(list(LAW_WORDS)), F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, F.lit(2), F.length(first)), F.substring(c, F.length(first) + 1, F.length(c)))).otherwise(c)
-    spaced = F.regexp_replace(F.regexp_replace(titled, r"(?i)\bnr\s*\.?\s*(?=[0-9])", "nr. "), r"\s*/\s*", "/")
-    return F.when(c.rlike("[0-9]"), spaced).otherwise(titled)
+    """Display form of an entity that is no known act: a leading law word capitalised; in one with a number the blanks around 'nr.' and '/' even, and no mark after the law word."""
+    numbered = c.rlike(r"(?U)\d")
+    even = F.regexp_replace(F.regexp_replace(c, r"(?iU)\bnr\s*\.\s*", "nr. "), r"(?U)\s*/\s*", "/")
+    base = F.when(numbered, even).otherwise(c)
+    first = F.substring_index(base, " ", 1)
+    word = F.when(numbered, F.rtrim(F.lower(first), F.lit(".,"))).otherwise(F.lower(first))
+    titled = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)), F.substring(base, F.length(first) + 1, F.length(base)))
+    return F.when(word.isin(list(LAW_WORDS)), titled).otherwise(base)
 
 
 def canonicalize(df: DataFrame, cols: list[str], aliases: DataFrame | None) -> DataFrame:
     """Entity columns in canonical form: an identifier where the value names an act, else its display form.
 
-    The distinct values of all columns are resolved once and joined back, so the cost of the regular
-    expressions follows the entities and not the rows. NULL stays NULL; values may be hot, hence
-    the join back is left to adaptive skew handling.
+    Identifiers, the hottest values, are canonical as they stand and take no part. The distinct other
+    values of all columns are resolved once and joined back, so the cost of the regular expressions
+    follows the entities and not the rows; rows without such a value are spread over the join's
+    tasks, and other hot values are left to adaptive skew handling. NULL stays NULL.
     """
-    values = df.select(F.explode(F.array(*cols)).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    values = df.select(F.explode(F.array(*cols)).alias("_v")).where(F.col("_v").isNotNull() & ~F.col("_v").rlike(LAW_ID_SHAPE)).distinct()
     known = resolve(values.withColumn("_c", cleaned(F.col("_v"))), "_c", aliases, "_id").select("_v", F.coalesce("_id", surface_form(F.col("_c"))).alias("_canon"))
     out = df
+    aside = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*(F.col(c) for c, t in df.dtypes if not t.startswith("map"))), F.lit(4096)).cast("string"))
     for i, c in enumerate(cols):
+        k = unclash(out, "_k")[0]
         one = known.select(F.col("_v").alias(f"_v{i}"), F.col("_canon").alias(f"_canon{i}"))
-        out = out.join(one, F.col(c) == F.col(f"_v{i}"), "left").withColumn(c, F.col(f"_canon{i}")).drop(f"_v{i}", f"_canon{i}")
+        keyed = out.withColumn(k, F.when(F.col(c).isNull() | F.col(c).rlike(LAW_ID_SHAPE), aside).otherwise(F.col(c)))
+        out = keyed.join(one, F.col(k) == F.col(f"_v{i}"), "left").withColumn(c, F.coalesce(f"_canon{i}", c)).drop(f"_v{i}", f"_canon{i}", k)
     return out
 
 
-# How a text speaks of itself.
-ANAPHORA = r"(?iU)^\s*(?:prezent(?:a|ul|ei|ului)?\b.*|hotărârea\b.*|legea\b.*|ordonanța\b.*|codul\b.*)$"
+# How a text speaks of itself, with and without diacritics.
+ANAPHORA = r"^(?:prezent[au]l?|hot[ăa]r[âa]rea|legea|ordonan[țt]a|codul)(?:[^\p{L}\p{N}_\n].*)?$"
+EXPLICIT = r"\p{Nd}|(?:^|[^\p{L}\p{N}_])nr\."
 
 
 def resolve_anaphora(df: DataFrame, law: Column, cols: tuple[str, ...] = ("head", "tail")) -> DataFrame:
     """Cells that mean the current act ('prezenta lege', 'legea') and carry no number become its identifier; without one nothing changes."""
     out = df
     for c in cols:
-        own = F.col(c).rlike(ANAPHORA) & ~F.col(c).rlike(r"(?iU)\d|\bnr\.") & law.isNotNull() & (law != "")
+        own = F.col(c).rlike("(?iud)" + ANAPHORA) & ~F.col(c).rlike("(?iu)" + EXPLICIT) & law.isNotNull() & (law != "")
         out = out.withColumn(c, F.when(own, law).otherwise(F.col(c)))
     return out

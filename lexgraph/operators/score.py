@@ -8,53 +8,83 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SCORE_WEIGHTS, TAIL_DOMAIN
 from .axioms import violation_counts
+from .resolve import canonicalize
 
 
-def _jaccard(docs: DataFrame, doc: str, onto: DataFrame, cols: list[str], out: str) -> DataFrame:
-    """(doc, out): |A and B| / |A or B| of the distinct values of ``cols``; 1 for two empty sets."""
-    mine, theirs = docs.select(doc, *cols).dropna(subset=cols).distinct(), onto.select(*cols).dropna().distinct()
-    size = theirs.agg(F.count("*").alias("n_onto"))
-    hit = mine.join(theirs.withColumn("__hit", F.lit(1)), cols, "left").groupBy(doc).agg(F.count("*").alias("n_doc"), F.count("__hit").alias("n_both"))
-    all_docs = docs.select(doc).distinct().join(hit, doc, "left").crossJoin(F.broadcast(size))  # one row of size
-    n_doc, n_both = F.coalesce("n_doc", F.lit(0)), F.coalesce("n_both", F.lit(0))
-    union = n_doc + F.col("n_onto") - n_both
-    return all_docs.select(doc, F.when(union == 0, 1.0).otherwise(F.try_divide(n_both.cast("double"), union.cast("double"))).alias(out))
+#: Kinds of things that documents and ontology have in common: relations, nodes and whole statements.
+KINDS = ("relation", "node", "triple")
+
+
+def _things(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, kind, a, b, c, n): the distinct relations, nodes and statements of each group with their counts; parts with a NULL are left out."""
+    none = F.lit("")
+    rows = F.array(
+        F.when(F.col("relation").isNotNull(), F.struct(F.lit("relation").alias("kind"), F.col("relation").alias("a"), none.alias("b"), none.alias("c"))),
+        F.when(F.col("head").isNotNull(), F.struct(F.lit("node").alias("kind"), F.col("head").alias("a"), none.alias("b"), none.alias("c"))),
+        F.when(F.col("tail").isNotNull(), F.struct(F.lit("node").alias("kind"), F.col("tail").alias("a"), none.alias("b"), none.alias("c"))),
+        F.when(F.col("head").isNotNull() & F.col("relation").isNotNull() & F.col("tail").isNotNull(), F.struct(F.lit("triple").alias("kind"), F.col("head").alias("a"), F.col("relation").alias("b"), F.col("tail").alias("c"))),
+    )
+    return df.select(*by, F.explode(F.array_compact(rows)).alias("x")).groupBy(*by, "x.kind", "x.a", "x.b", "x.c").agg(F.count("*").alias("n"))
+
+
+def similarities(docs: DataFrame, onto: DataFrame, doc: str = "doc_id", kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(doc, relation_jaccard, node_jaccard, triple_jaccard, relation_distribution_cosine) of each document.
+
+    |A and B| / |A or B| of the distinct values, 1 for two empty sets; the cosine of the relation
+    counts, 0 if either is empty. Documents are expanded into all kinds once, reduced to distinct
+    values on the map side, meet the ontology's in one join, and are aggregated once.
+    """
+    wanted = F.col("kind").isin(list(kinds))
+    mine = _things(docs, [doc]).where(wanted)
+    theirs = _things(onto).where(wanted).withColumnRenamed("n", "y")
+
+    def of(kind: str, x: Column) -> Column:
+        return F.when(F.col("kind") == kind, x)
+
+    size = theirs.agg(*(F.count(of(k, F.lit(1))).alias(f"o_{k}") for k in KINDS), F.sum(of("relation", F.col("y") * F.col("y"))).cast("double").alias("yy"))
+    met = mine.join(theirs, ["kind", "a", "b", "c"], "left").groupBy(doc).agg(
+        *(F.count(of(k, F.lit(1))).alias(f"d_{k}") for k in KINDS),
+        *(F.count(of(k, F.col("y"))).alias(f"b_{k}") for k in KINDS),
+        F.sum(of("relation", F.col("n") * F.coalesce("y", F.lit(0)))).cast("double").alias("xy"),
+        F.sum(of("relation", F.col("n") * F.col("n"))).cast("double").alias("xx"),
+    )
+    every = docs.groupBy(doc).agg(F.lit(1).alias("_one")).select(doc).join(met, doc, "left").crossJoin(F.broadcast(size))  # one row of sizes
+    zero = F.lit(0)
+
+    def jaccard(k: str) -> Column:
+        both = F.coalesce(f"b_{k}", zero)
+        union = F.coalesce(f"d_{k}", zero) + F.col(f"o_{k}") - both
+        return F.when(union == 0, 1.0).otherwise(F.try_divide(both.cast("double"), union.cast("double"))).alias(f"{k}_jaccard")
+
+    cosine = F.coalesce(F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))), F.lit(0.0)).alias("relation_distribution_cosine")
+    return every.select(doc, *(jaccard(k) for k in KINDS), cosine)
 
 
 def relation_jaccard(docs: DataFrame, onto: DataFrame, doc: str = "doc_id") -> DataFrame:
-    return _jaccard(docs, doc, onto, ["relation"], "relation_jaccard")
+    return similarities(docs, onto, doc, ["relation"]).select(doc, "relation_jaccard")
 
 
 def triple_jaccard(docs: DataFrame, onto: DataFrame, doc: str = "doc_id") -> DataFrame:
-    return _jaccard(docs, doc, onto, ["head", "relation", "tail"], "triple_jaccard")
+    return similarities(docs, onto, doc, ["triple"]).select(doc, "triple_jaccard")
 
 
 def node_jaccard(docs: DataFrame, onto: DataFrame, doc: str = "doc_id") -> DataFrame:
-    ends = F.explode(F.array("head", "tail")).alias("node")
-    return _jaccard(docs.select(doc, ends), doc, onto.select(ends), ["node"], "node_jaccard")
+    return similarities(docs, onto, doc, ["node"]).select(doc, "node_jaccard")
 
 
 def relation_cosine(docs: DataFrame, onto: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, relation_distribution_cosine): cosine of the relation counts; 0 if either is empty."""
-    rel = F.col("relation").isNotNull()
-    mine = docs.where(rel).groupBy(doc, "relation").agg(F.count("*").alias("x"))
-    theirs = onto.where(rel).groupBy("relation").agg(F.count("*").alias("y"))
-    norm = theirs.agg(F.sum(F.col("y") * F.col("y")).cast("double").alias("yy"))
-    dot = mine.join(theirs, "relation", "left").groupBy(doc).agg(F.sum(F.col("x") * F.coalesce("y", F.lit(0))).cast("double").alias("xy"), F.sum(F.col("x") * F.col("x")).cast("double").alias("xx"))
-    out = docs.select(doc).distinct().join(dot, doc, "left").crossJoin(F.broadcast(norm))  # one row of norm
-    cosine = F.coalesce(F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))), F.lit(0.0))
-    return out.select(doc, cosine.alias("relation_distribution_cosine"))
+    return similarities(docs, onto, doc, ["relation"]).select(doc, "relation_distribution_cosine")
 
 
 def compliance(docs: DataFrame, onto: DataFrame, doc: str = "doc_id", *, weights: Mapping[str, float] = SCORE_WEIGHTS, domains: Mapping[str, Sequence[str]] = TAIL_DOMAIN) -> DataFrame:
     """The similarity report: sizes, the four similarities, axiom violations and conformance, and their weighted sum."""
     v = violation_counts(docs, [doc], domains)
-    out = v.join(relation_jaccard(docs, onto, doc), doc).join(relation_cosine(docs, onto, doc), doc).join(node_jaccard(docs, onto, doc), doc).join(triple_jaccard(docs, onto, doc), doc)
+    out = v.join(similarities(docs, onto, doc), doc)
     conformance = F.greatest(F.lit(0.0), 1 - F.col("total").cast("double") / F.greatest("n_triples", F.lit(1)))
     out = out.withColumn("axiom_conformance", conformance)
     score = sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))
@@ -62,3 +92,16 @@ def compliance(docs: DataFrame, onto: DataFrame, doc: str = "doc_id", *, weights
     return out.select(
         doc, "n_triples", "relation_jaccard", "relation_distribution_cosine", "node_jaccard", "triple_jaccard", "axiom_conformance", violations, score.alias("compliance_score")
     )
+
+
+def compare_documents(docs: DataFrame, store: DataFrame, aliases: DataFrame | None = None, *, doc: str = "doc_id") -> DataFrame:
+    """The similarity report of every document of ``docs`` (as ``sources.files.read_documents`` gives them) against a triple store.
+
+    The store's entities are made canonical first; each report also has n_dropped, the distinct
+    relations of the document that are not in the vocabulary. An empty store is an error.
+    """
+    if store.isEmpty():
+        raise ValueError("the triple store is empty")
+    report = compliance(docs, canonicalize(store, ["head", "tail"], aliases), doc)
+    dropped = docs.groupBy(doc).agg(F.max(F.size("dropped")).alias("n_dropped"))
+    return report.join(dropped, doc).select(doc, "n_dropped", *(c for c in report.columns if c != doc))

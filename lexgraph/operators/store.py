@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TRIPLE_COLS, TRIPLES
@@ -100,19 +100,15 @@ def triple_sources(df: DataFrame, head: str, relation: str, tail: str) -> DataFr
     return df.where((F.col("head") == head) & (F.col("relation") == relation) & (F.col("tail") == tail)).select("law_id", "article_number", "source_method", "confidence")
 
 
-def triples_with_sources(df: DataFrame) -> DataFrame:
-    """Each distinct statement (NULLs equal) with its number of sources and the distinct sources, counted.
+def triples_with_sources(df: DataFrame, *, nested: bool = False) -> DataFrame:
+    """Each distinct statement (NULLs equal) with its distinct sources, counted: one row per statement and source, ``times`` how often.
 
-    The sources of a statement are first reduced to distinct ones with their counts, so a statement
-    extracted any number of times costs its distinct provenance only.
+    Rows are reduced on the map side, so a statement extracted any number of times costs its
+    distinct provenance only, and no statement's sources meet in one row. ``nested`` gives one row
+    per statement with n_sources and an array of its sources instead, for statements whose sources fit in a row.
     """
     per = df.groupBy("head", "relation", "tail", "law_id", "article_number", "source_method", "confidence").agg(F.count("*").alias("times"))
+    if not nested:
+        return per
     src = F.struct("law_id", "article_number", "source_method", "confidence", "times")
     return per.groupBy("head", "relation", "tail").agg(F.sum("times").alias("n_sources"), F.sort_array(F.collect_list(src)).alias("sources"))
-
-
-def with_seq(df: DataFrame, seq: str = "seq", by: list[str] | None = None) -> DataFrame:
-    """Ingest order: increasing ids, or by the given columns within each law (never one window over all rows)."""
-    if not by:
-        return df.withColumn(seq, F.monotonically_increasing_id())
-    return df.withColumn(seq, F.row_number().over(Window.partitionBy("law_id").orderBy(*by)))

@@ -227,7 +227,7 @@ def kb_triple_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def kb_triples_with_sources(spark: SparkSession, d: str) -> DataFrame:
     s = store.triples_with_sources(kg_lineitem(spark, d))
-    return s.select("head", "relation", "tail", "n_sources", F.size("sources").alias("n_distinct_sources"))
+    return s.groupBy("head", "relation", "tail").agg(F.sum("times").alias("n_sources"), F.count("*").alias("n_distinct_sources"))
 
 
 # ---- graph ----------------------------------------------------------------------------------------------------------
@@ -307,7 +307,7 @@ def ax_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def ax_all(spark: SparkSession, d: str) -> DataFrame:
     """Violations per axiom and relation."""
-    return axioms.all_violations(kg_events(spark, d)).groupBy("axiom", "relation").agg(F.count("*").alias("n"))
+    return axioms.violations_by_axiom(kg_events(spark, d))
 
 
 # ---- similarity -----------------------------------------------------------------------------------------------------
@@ -482,7 +482,7 @@ def oracle_sql() -> dict[str, str]:
         "kb_statistics": f"{KG} SELECT (SELECT count(*) FROM kg) AS total_triples, (SELECT count(*) FROM (SELECT head FROM kg UNION SELECT tail FROM kg)) AS unique_entities, (SELECT count(DISTINCT relation) FROM kg) AS unique_relations, (SELECT count(*) FROM legislative_corpus) AS corpus_size",
         "kb_relation_histogram": f"{KG} SELECT relation, count(*) AS n FROM kg GROUP BY 1",
         "kb_triple_sources": f"WITH li AS ({KG_LINEITEM_SQL}) SELECT law_id, article_number, source_method, confidence FROM li WHERE head = 'supp_1' AND tail = 'part_1'",
-        "kb_triples_with_sources": f"WITH li AS ({KG_LINEITEM_SQL}) SELECT head, relation, tail, count(*) AS n_sources, count(DISTINCT law_id || '|' || article_number || '|' || source_method)::INTEGER AS n_distinct_sources FROM li GROUP BY 1, 2, 3",
+        "kb_triples_with_sources": f"WITH li AS ({KG_LINEITEM_SQL}) SELECT head, relation, tail, count(*) AS n_sources, count(DISTINCT law_id || '|' || article_number || '|' || source_method) AS n_distinct_sources FROM li GROUP BY 1, 2, 3",
         "graph_nodes": f"{KG} SELECT head AS id FROM kg UNION SELECT tail FROM kg",
         "graph_law_annotation": "SELECT DISTINCT t.law_id AS id, 'law' AS node_type, CASE WHEN m.law_id IS NULL THEN true END AS external FROM legislative_triples t LEFT JOIN (SELECT DISTINCT law_id FROM law_meta) m ON t.law_id = m.law_id WHERE t.law_id IS NOT NULL",
         "graph_degrees": f"{KG} SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, sum(i + o)::BIGINT AS degree FROM (SELECT head AS id, 0 AS i, 1 AS o FROM kg UNION ALL SELECT tail, 1, 0 FROM kg) GROUP BY 1",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgraph.constants import TRIPLES
-from lexgraph.operators import axioms, cite, extract, graph, resolve, score, segment, store, vector
+from lexgraph.operators import axioms, cite, extract, graph, report, resolve, score, segment, store, vector
 from lexgraph.plans.pipeline import corpus_triples
 from lexgraph.sources import files
 from lexgraph.streaming import ingest
@@ -113,7 +113,8 @@ def test_best_confidence_and_store(spark):
     assert store.add_triples(df, df).count() == 4
     bare = store.conform(df.select("head", "relation", "tail", F.lit(3).alias("extra")))
     assert bare.schema.fieldNames() == TRIPLES.fieldNames() and bare.where("confidence IS NULL").count() == 4
-    s = store.triples_with_sources(df).first()
+    assert store.triples_with_sources(df).count() == 4
+    s = store.triples_with_sources(df, nested=True).first()
     assert s.n_sources == 4 and len(s.sources) == 4
 
 
@@ -199,3 +200,85 @@ def test_pipeline(spark, meta):
     got = {(r.head, r.relation, r.tail, r.article_number) for r in corpus_triples(laws, meta).collect()}
     assert got == {("oug_1_2020", "modifică", "lege_53_2003", "1"), ("oug_1_2020", "face_referire_la", "lege_53_2003", "2")}
     assert files.synthetic_laws(spark, 8).count() == 8
+
+
+def reference_form(value, known):
+    """The canonical form of an entity in plain Python."""
+    import re
+    import unicodedata
+
+    words = {w: w[0].upper() + w[1:] for w in ("legea", "codul", "hotărârea", "ordonanța", "decretul", "constituția", "monitorul", "parlamentul", "guvernul", "președintele", "ministerul")}
+    s = unicodedata.normalize("NFC", value).translate(str.maketrans("şŞţŢ", "șȘțȚ"))
+    s = re.sub(r"\s+", " ", re.sub(r"[​-‏⁠﻿ ]", " ", s)).strip(" \t\n\r.,;:\"'`«»“”’()[]{}")
+    if s in known:
+        return known[s]
+    first, sep, rest = s.partition(" ")
+    if re.search(r"\d", s):
+        s = re.sub(r"\s*/\s*", "/", re.sub(r"\bnr\s*\.\s*", "nr. ", s, flags=re.I))
+        first, sep, rest = s.partition(" ")
+        low = first.lower().rstrip(".,")
+    else:
+        low = first.lower()
+    return words[low] + sep + rest if low in words else s
+
+
+def test_display_forms(spark):
+    values = [
+        "guvernul României", "GUVERNUL României", "parlamentul", "ministerul  Dreptăţii", "monitorul Oficial", "președintele României", "PREŞEDINTELE", "lege specială", "legii 5", "ordonanței",
+        "legea, nr.5 / 2001 bis", "legea., anexa 3", "Anexa nr . 4 / 5", "nr 5", "«guvernul»", "hotărârea​necunoscută", "codul rutier", "a b", "", "guvernul.", "decretul\nregal",
+    ]
+    got = resolve.canonicalize(triples(spark, *((str(i), "x", v) for i, v in enumerate(values))), ["tail"], None)
+    assert {int(r["head"]): r.tail for r in got.collect()} == {i: reference_form(v, {}) for i, v in enumerate(values)}
+
+
+@pytest.mark.parametrize(
+    "form",
+    [
+        "Legea nr. 5/2001", "Legii nr.5/2001", "Legea-cadru nr. 153/2017", "Ordonanța de urgență a Guvernului nr. 89/2025", "Ordonanței de urgenței nr. 89/2025", "O.U.G. nr. 89/2025", "OUG nr. 89/2025",
+        "O.U.G.nr. 89/2025", "oug nr 89/2025", "Ordonanța Guvernului nr. 81/2003", "Ordonanța nr. 81/2003", "O.G. nr. 81/2003", "OG nr. 81/2003", "O. G. nr.81/2003", "Hotărârea Guvernului nr. 1.705/2006",
+        "Hotărârii nr. 1705/2006", "H.G. nr. 1705/2006", "HG nr. 1.705/2006", "HGnr.1/2006", "Codul de procedură civilă", "codul fiscal", "Constituția României", "Constituției României",
+    ],
+)
+def test_every_form_of_a_citation(spark, form):
+    assert citations(spark, f"Se abrogă {form}, cu aviz.") == {("abroga", form)}
+
+
+def test_what_is_no_citation(spark):
+    for text in ("Legea 5/2001", "Legea nr. 5 / 2001", "Decretul nr. 5/2001", "Codul rutier", "OUG 89/2025"):
+        assert citations(spark, text) == set()
+
+
+def test_many_citations_keep_their_windows(spark):
+    text = "\x01" + " ".join(f"{'Se abrogă' if i % 3 else 'Potrivit'} HGnr{i}/2006{'x' * (i % 90)}." for i in range(300))
+    got = citations(spark, text)
+    assert len({s for _, s in got}) == 300 and {r for r, _ in got} == {"abroga", "face_referire_la"}
+
+
+def test_anaphora_forms(spark):
+    own = ["prezenta lege", "Prezentul cod fiscal", "PREZENTA", "Hotărârea", "hotararea de mai sus", "Hotarârea Guvernului", "legea", "Ordonanța de urgență", "ordonanta", "Codul muncii", "prezental x", "legea​"]
+    other = ["prezent", "prezentei legi", "legea nr. X", "Legea 5", "hotărâri", " legea", "legeax", "lege", "ordonanţa", "", "legea\nb"]
+    df = triples(spark, *((v, "x", str(i)) for i, v in enumerate(own + other)), (None, "x", "99"))
+    got = {int(r.tail): r["head"] for r in resolve.resolve_anaphora(df, F.lit("L"), ("head",)).collect()}
+    assert [got[i] for i in range(len(own))] == ["L"] * len(own)
+    assert [got[len(own) + i] for i in range(len(other))] == other and got[99] is None
+
+
+def test_hubs_are_split_and_chains_whole(spark):
+    rows = [(f"a{i}", "modifică", "hub") for i in range(30)] + [("hub", "modifică", f"c{i}") for i in range(20)] + [("a1", "modifică", "hub"), ("hub", "modifică", "hub"), ("c1", "modifică", "d")]
+    df = triples(spark, *rows)
+    whole = {tuple(r) for r in axioms.two_hops(df).collect()}
+    assert whole == {tuple(r) for r in axioms.two_hops(df, per_task=7).collect()} and sum(r[4] for r in whole) == axioms.two_hop_count(df).first().n_paths
+
+
+def test_spot_check_in_full(spark):
+    df = triples(spark, *((f"l{i % 2}", "modifică" if i % 3 else "emis_de", f"t{i}", f"l{i % 2}", str(i)) for i in range(40)))
+    s = {r.law_id: r for r in report.spot_check(df, ["l0", "l1", "l9"]).collect()}
+    assert set(s) == {"l0", "l1"} and len(s["l0"].sample) == 5 and len(s["l0"].cross_references) == 10
+    assert all(" | modifică | " in x for x in s["l1"].cross_references)
+    bare = report.spot_check(df.select("head", "relation", "tail"), ["l0"]).first()
+    assert bare.n_triples == 20 and len(bare.cross_references) == 10
+
+
+def test_full_eda(spark):
+    r = report.full_eda(triples(spark, ("a", "r", "b"), ("b", "r", "a"), ("a", "q", None)))
+    assert {k: v.count() for k, v in r.items()} == {"basic": 1, "density": 1, "reciprocity": 1, "top_relations": 2, "rare_relations": 2, "top_heads": 2, "top_tails": 2, "relations": 2, "degrees": 1, "in_degrees": 1, "out_degrees": 1}
