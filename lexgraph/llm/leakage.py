@@ -68,6 +68,21 @@ def seed_patterns(least: int) -> tuple[tuple[int, ...], ...]:
     return ((0, 1), (0, 2))
 
 
+@lru_cache
+def seeds_agreeing(patterns: tuple[tuple[int, ...], ...], least: int) -> int:
+    """How many seeds at least every stretch of ``least`` words without two replaced neighbours holds."""
+    forms = {"".join(str(b - a) for a, b in zip(p, p[1:], strict=False)) for p in patterns}
+    n = len(next(iter(forms)))
+
+    @lru_cache(None)
+    def fewest(last: str, left: int) -> int:
+        if left <= 0:
+            return 0
+        return min((last + g in forms) + fewest((last + g)[1 - n :] if len(last) + 1 >= n else last + g, left - int(g)) for g in ("1", "2"))
+
+    return max(fewest("", least - 1), 1)
+
+
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -97,6 +112,7 @@ class ItemIndex:
         w = words_of(passages)
         self.ids, self.words = list(ids), w.hash
         self.patterns = seed_patterns(least)
+        self.agree = seeds_agreeing(self.patterns, least)
         self.first = np.searchsorted(w.text, np.arange(len(passages) + 1))
         g, at = seed_hashes(w, self.patterns)
         order = np.argsort(g, kind="stable")
@@ -106,23 +122,43 @@ class ItemIndex:
         self.passes[g >> np.uint64(65 - len(self.passes).bit_length())] = True
         self.longest = int(np.diff(self.first).max(initial=0))
 
-    def hits(self, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word of the batch, word of the passages) of each seed in common, at most about ``BLOCK`` at a time."""
+    def alignments(self, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, word of the batch less word of the passages) of each way to lay a text and an item against each other on which enough seeds agree.
+
+        Texts are taken together up to about ``BLOCK`` hits; one with more is taken in parts, in
+        which a single seed is enough, so that a seed that stands in many passages costs time but no result.
+        """
         g, at = seed_hashes(w, self.patterns, self.passes)
         lo = np.searchsorted(self.seeds, g, "left")
         many = np.searchsorted(self.seeds, g, "right") - lo
         met = np.flatnonzero(many)
+        met = met[np.argsort(w.text[at[met]], kind="stable")]
         many, lo, at = many[met], lo[met], at[met]
         total = np.cumsum(many)
+        ends = np.flatnonzero(np.diff(w.text[at], append=-1)) + 1  # where the hits of a text end
         start = 0
         while start < len(many):
             before = total[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(total, before + BLOCK, "right")))
-            n, s, a = many[start:end], lo[start:end], at[start:end]
-            place = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield np.repeat(a, n), self.at[place]
+            end = int(np.searchsorted(total, before + BLOCK, "right"))
+            whole = ends[ends <= end]
+            apart = not len(whole) or whole[-1] <= start
+            end = max(end, start + 1) if apart else int(whole[-1])
+            n, a = many[start:end], at[start:end]
+            place = np.repeat(lo[start:end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            doc_at, item_at = np.repeat(a, n), self.at[place]
+            yield self._agreed(w.text[doc_at], np.searchsorted(self.first, item_at, "right") - 1, doc_at - item_at, 1 if apart or start and w.text[at[start - 1]] == w.text[at[start]] else self.agree)
             start = end
 
+    def _agreed(self, text: np.ndarray, item: np.ndarray, shift: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low, items = int(shift.min()), len(self.first) - 1
+        width = int(shift.max()) - low + 1
+        if (int(text.max()) + 1) * items * width >= 1 << 63:  # such keys would not fit
+            key, seen = np.unique(np.stack([text, item, shift]), axis=1, return_counts=True)
+            return tuple(key[:, seen >= least])
+        key, seen = np.unique((text * items + item) * width + (shift - low), return_counts=True)
+        pair, shift = np.divmod(key[seen >= least], width)
+        return pair // items, pair % items, shift + low
+
 
 def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
     """[start, end) of the longest stretch that begins and ends with an equal word and in which no two neighbours differ."""
@@ -149,11 +185,9 @@ def leaks(texts: Sequence[str | None], index: ItemIndex, least: int) -> tuple[Wo
     span = np.arange(index.longest)
     step = max(1, 4_000_000 // max(1, index.longest))
     out: set[tuple[int, int, int, int]] = set()
-    for doc_at, item_at in index.hits(w):
-        # a shift names one alignment only within one document; a block of hits may repeat one of an earlier block
-        key = np.unique(np.stack([w.text[doc_at], np.searchsorted(index.first, item_at, "right") - 1, doc_at - item_at]), axis=1)
-        for a in range(0, key.shape[1], step):
-            doc, it, sh = key[:, a : a + step]
+    for docs, items, shifts in index.alignments(w):
+        for a in range(0, len(docs), step):
+            doc, it, sh = docs[a : a + step], items[a : a + step], shifts[a : a + step]
             pos = index.first[it][:, None] + span
             at = pos + sh[:, None]
             valid = (pos < index.first[it + 1][:, None]) & (at >= begin[doc][:, None]) & (at < begin[doc + 1][:, None])
