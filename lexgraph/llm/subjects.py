@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .wordhash import Words, ngram_hashes, words_of
+from .wordhash import Words, words_of
+
+try:
+    import zstandard
+except ImportError:  # blocks are then larger
+    zstandard = None
 
 #: Strength, in words, with which a model is interpolated with the next lower one: unigrams with the background, bigrams with unigrams.
 PRIOR_UNIGRAM, PRIOR_BIGRAM = 50.0, 5.0
 #: How many times its degrees of freedom an n-gram's G statistic must exceed to have any weight.
 NOISE = 1.2
-#: A sentence deals with a subject when its log-likelihood ratio to the background reaches this.
-ACCEPT = 2.0
-#: A sentence teaches a model only when its best subject leads the second by this much.
-TEACH = 1.0
+#: Mean log-likelihood ratio per word to the background from which a sentence deals with a subject that cannot be calibrated, and the least that a calibration gives.
+ACCEPT, LOWEST = 0.1, 0.02
+#: Calibration: parts the samples are dealt to, share of held-out sentences that may be missed, and sentences it takes.
+FOLDS, MISSED, LEAST_HELD = 5, 0.05, 10
+#: A sentence teaches a model when its log-likelihood ratio to the background reaches the first and leads the second subject's by the second.
+CLEAR, TEACH = 2.0, 1.0
 #: Share of its sentences that a document must spend on an area.
 SHARE = 0.25
 #: Labelled rows that are read for training.
@@ -37,58 +47,105 @@ def sentences_of(w: Words) -> np.ndarray:
     """
     if not len(w.hash):
         return np.zeros(0, np.int64)
-    p = w.points
-    stop = np.isin(p, np.array([ord(c) for c in ".!?…"], dtype=np.uint32))
-    closing = np.isin(p, np.array([ord(c) for c in "”\"»’)]"], dtype=np.uint32))
-    stop[1:] |= closing[1:] & stop[:-1]
-    newline = p == 10
-    space = newline | (p == 32) | (p == 9) | (p == 0xA0) | (p == 13)
-    # counts before each position make questions about gaps between words vectorised
-    stops = np.concatenate(([0], np.cumsum(stop[:-1] & space[1:])))
-    blank = np.concatenate(([0], np.cumsum(_blank_lines(p, newline, space))))
+    kind = _kinds()[np.minimum(w.points, 0xFFFF)]
     a, b = w.end[:-1], w.start[1:]
+    # most words are one blank apart; only the other gaps can end a sentence
+    cut = np.zeros(len(a), dtype=bool)
+    wide = np.flatnonzero(b - a > 1)
+    stop = kind == _STOP
+    stop[1:] |= (kind[1:] == _CLOSE) & stop[:-1]
+    newline = w.points == 10
+    space = (kind == _SPACE) | newline
+    # counts before each position make questions about gaps between words vectorised
+    stops = np.concatenate(([0], np.cumsum(stop[:-1] & space[1:], dtype=np.int32)))
+    blank = np.concatenate(([0], np.cumsum(_blank_lines(newline, space), dtype=np.int32)))
+    a, b = a[wide], b[wide]
     has_stop = stops[np.minimum(b, len(stops) - 1)] > stops[a]
-    has_blank = blank[b] > blank[a]
-    upper = _is_upper(p[b])
-    cut = (w.text[1:] != w.text[:-1]) | has_blank | (has_stop & upper)
+    cut[wide] = (blank[b] > blank[a]) | (has_stop & (kind[b] == _CAPITAL))
+    cut |= w.text[1:] != w.text[:-1]
     return np.concatenate(([0], np.cumsum(cut)))
 
 
-def _blank_lines(p: np.ndarray, newline: np.ndarray, space: np.ndarray) -> np.ndarray:
+def _blank_lines(newline: np.ndarray, space: np.ndarray) -> np.ndarray:
     """True at each newline whose next character but blanks is a newline too."""
     at = np.flatnonzero(newline)
-    out = np.zeros(len(p), dtype=bool)
+    out = np.zeros(len(newline), dtype=bool)
     if len(at) > 1:
-        gaps = np.concatenate(([0], np.cumsum(~space)))
+        gaps = np.concatenate(([0], np.cumsum(~space, dtype=np.int32)))
         near = gaps[at[1:]] == gaps[at[:-1] + 1]
         out[at[:-1][near]] = True
     return out
 
 
-_UPPER: list[np.ndarray] = []
+_STOP, _CLOSE, _SPACE, _CAPITAL = 1, 2, 3, 4
 
 
-def _is_upper(p: np.ndarray) -> np.ndarray:
-    if not _UPPER:
-        _UPPER.append(np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x10000)]))
-    return _UPPER[0][np.minimum(p, 0xFFFF)]
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Code point -> what it means for the ends of sentences."""
+    kinds = np.array([_CAPITAL if chr(c).isupper() or chr(c).istitle() else 0 for c in range(0x10000)], dtype=np.uint8)
+    for chars, kind in ((".!?…", _STOP), ("”\"»’)]", _CLOSE), (" \t\r\u00a0", _SPACE)):
+        kinds[[ord(c) for c in chars]] = kind
+    return kinds
 
 
-def _is_number(w: Words) -> np.ndarray:
-    first = w.points[w.start] if len(w.start) else np.zeros(0, np.uint32)
-    return (first >= 48) & (first <= 57)
+#: The code of every number; other words have the upper half of their hash.
+_NUMBER = np.uint32(7)
+
+
+@dataclass
+class Tokens:
+    """Texts as word codes of 32 bits, with the words of each sentence and of each text."""
+
+    words: np.ndarray
+    of_sentence: np.ndarray
+    of_text: np.ndarray
+
+    @property
+    def sentence(self) -> np.ndarray:
+        """The sentence of each word."""
+        return np.repeat(np.arange(len(self.of_sentence)), self.of_sentence)
+
+    @property
+    def text(self) -> np.ndarray:
+        """The text of each sentence."""
+        if not len(self.of_sentence):
+            return np.zeros(0, np.int64)
+        ends = np.cumsum(self.of_text)
+        return np.searchsorted(ends, np.cumsum(self.of_sentence) - self.of_sentence, "right")
+
+    def pairs(self, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, word it ends at) of the bigrams inside sentences; the key holds both words."""
+        at = np.flatnonzero(sentence[1:] == sentence[:-1]) if len(sentence) else np.zeros(0, np.int64)
+        wide = self.words.astype(np.uint64)
+        return wide[at] << np.uint64(32) | wide[at + 1], at + 1
+
+    def pack(self) -> bytes:
+        parts = [np.array([len(self.words), len(self.of_sentence), len(self.of_text)], np.uint32), self.words, self.of_sentence.astype(np.uint32), self.of_text.astype(np.uint32)]
+        return _squeeze(np.concatenate(parts).tobytes())
+
+    @staticmethod
+    def unpack(blob: bytes) -> Tokens:
+        x = np.frombuffer(_expand(blob), dtype=np.uint32)
+        n, m, _ = x[:3].tolist()
+        return Tokens(x[3 : 3 + n], x[3 + n : 3 + n + m].astype(np.int64), x[3 + n + m :].astype(np.int64))
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw) if zstandard else zlib.compress(raw, 1)
 
 
-_NUMBER = np.uint64(7)
+def _expand(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob) if zstandard else zlib.decompress(blob)
 
 
-def features(texts: Sequence[str | None]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their hashes with all numbers alike, sentence numbers, and bigram hashes with the word each ends at."""
+def tokens_of(texts: Sequence[str | None]) -> Tokens:
+    """Word codes, with all numbers alike; two words of one code count as one word, of which there are some among millions of words."""
     w = words_of(texts)
-    sentence = sentences_of(w)
-    h = np.where(_is_number(w), _NUMBER, w.hash)
-    g, at = ngram_hashes(h, sentence, 2)
-    return w, h, sentence, g, at + 1
+    code = (w.hash >> np.uint64(32)).astype(np.uint32)
+    first = w.points[w.start] if len(w.start) else np.zeros(0, np.uint32)
+    code[(first >= 48) & (first <= 57)] = _NUMBER
+    return Tokens(code, np.bincount(sentences_of(w)), np.bincount(w.text, minlength=len(texts)))
 
 
 def _trust(n: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -110,111 +167,172 @@ class SubjectModels:
     """Interpolated bigram models of the subjects, as log-ratio tables against the background model.
 
     A document word costs one lookup: the row of its bigram if any subject has seen it, else of its
-    word, else nothing.
+    word, else nothing. ``accept`` is the least mean log-ratio per word with which a sentence deals
+    with each subject.
     """
 
     subjects: list[str]
     uni: np.ndarray
-    uni_ratio: np.ndarray
     bi: np.ndarray
-    bi_ratio: np.ndarray
+    #: Rows of the words, then of the bigrams.
+    ratio: np.ndarray
+    accept: np.ndarray
+
+    def __post_init__(self) -> None:
+        # most bigrams of a text are in no model: a bit of each key in a table spares them the search
+        self.passes = np.zeros(1 << min(max(16 * len(self.bi), 1 << 12).bit_length(), 26), dtype=bool)
+        self.passes[self._slot(self.bi)] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.passes).bit_length())
+
+    def scores(self, t: Tokens) -> np.ndarray:
+        """Sum over the words of each sentence of log p(subject) - log p(background): sentences x subjects."""
+        out = np.zeros((len(t.of_sentence), len(self.subjects)), dtype=np.float32)
+        sentence = t.sentence
+        row = np.full(len(t.words), -1, dtype=np.int64)
+        if len(self.uni) and len(t.words):
+            r = np.minimum(np.searchsorted(self.uni, t.words), len(self.uni) - 1)
+            known = np.flatnonzero(self.uni[r] == t.words)
+            row[known] = r[known]
+        if len(self.bi):
+            g, at = t.pairs(sentence)
+            maybe = np.flatnonzero(self.passes[self._slot(g)])
+            g, at = g[maybe], at[maybe]
+            r = np.minimum(np.searchsorted(self.bi, g), len(self.bi) - 1)
+            known = np.flatnonzero(self.bi[r] == g)
+            row[at[known]] = r[known] + len(self.uni)
+        told = np.flatnonzero(row >= 0)
+        if len(told):
+            of = sentence[told]
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            out[of[starts]] = np.add.reduceat(self.ratio[row[told]], starts, axis=0)
+        return out
+
+    def dealt(self, t: Tokens) -> np.ndarray:
+        """Whether each sentence deals with each subject: its cross-entropy per word lies below the background's by what the subject asks for."""
+        return self.scores(t) >= self.accept * t.of_sentence[:, None]
+
+
+@dataclass
+class Counts:
+    """Counts of n-grams per class; the last class holds sentences of no subject. ``first`` and ``last`` are the rows of a bigram's words."""
+
+    uni: np.ndarray
+    uni_n: np.ndarray
+    bi: np.ndarray
+    bi_n: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    total: np.ndarray
 
     @staticmethod
-    def fit(subjects: list[str], uni: np.ndarray, uni_n: np.ndarray, bi: np.ndarray, bi_n: np.ndarray, bi_first: np.ndarray, bi_last: np.ndarray, total: np.ndarray | None = None) -> SubjectModels:
-        """From sorted n-gram hashes and their counts per class; the last class holds sentences of no subject.
+    def of(classes: int, grams: pd.DataFrame, total: np.ndarray | None = None) -> Counts:
+        """From rows (pair, hash, class, n). ``total`` has the words of each class where the rows do not hold all of them."""
+        pair = grams["pair"].to_numpy(bool)
+        key, cls, n = grams["hash"].to_numpy(np.int64).view(np.uint64), grams["class"].to_numpy(), grams["n"].to_numpy()
+        uni, inv = np.unique(key[~pair].astype(np.uint32), return_inverse=True)
+        uni_n = np.zeros((len(uni), classes))
+        np.add.at(uni_n, (inv, cls[~pair]), n[~pair])
+        rows = [np.minimum(np.searchsorted(uni, x), max(len(uni) - 1, 0)) for x in _words_of_pairs(key[pair])]
+        ok = np.logical_and(*(uni[r] == x for r, x in zip(rows, _words_of_pairs(key[pair]), strict=True))) if len(uni) else np.zeros(int(pair.sum()), bool)
+        bi, at, inv = np.unique(key[pair][ok], return_index=True, return_inverse=True)
+        bi_n = np.zeros((len(bi), classes))
+        np.add.at(bi_n, (inv, cls[pair][ok]), n[pair][ok])
+        return Counts(uni, uni_n, bi, bi_n, rows[0][ok][at], rows[1][ok][at], uni_n.sum(axis=0) if total is None else total)
+
+    def less(self, grams: pd.DataFrame) -> Counts:
+        """Without the counts of some rows (pair, hash, class, n)."""
+        out = Counts(self.uni, self.uni_n.copy(), self.bi, self.bi_n.copy(), self.first, self.last, self.total.copy())
+        for is_pair, keys, counts in ((False, self.uni, out.uni_n), (True, self.bi, out.bi_n)):
+            g = grams[grams["pair"] == is_pair]
+            key, cls, n = g["hash"].to_numpy(np.int64).view(np.uint64).astype(keys.dtype), g["class"].to_numpy(), g["n"].to_numpy()
+            if not is_pair:
+                np.subtract.at(out.total, cls, n)
+            if len(keys):
+                r = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                here = keys[r] == key
+                np.subtract.at(counts, (r[here], cls[here]), n[here])
+        return out
 
-        ``bi_first`` and ``bi_last`` are the rows in ``uni`` of the words of each bigram; ``total``
-        has the words of each class where ``uni`` does not hold all of them.
-        """
+    def models(self, subjects: list[str]) -> SubjectModels:
         k = len(subjects)
-        total = uni_n.sum(axis=0) if total is None else total
+        un, bn, total, first, last = self.uni_n, self.bi_n, self.total, self.first, self.last
         active = total > 0
         # every class weighs alike in the background, however common it is
-        ml = uni_n / np.maximum(total, 1.0)
-        back = ml[:, active].mean(axis=1, keepdims=True) if active.any() else np.full((len(uni), 1), 1.0)
-        p1 = (uni_n + PRIOR_UNIGRAM * back) / (total + PRIOR_UNIGRAM)
-        uni_ratio = np.log(p1[:, :k] / back) * _trust(uni_n, total)[:, None]
-        share = ml[bi_first][:, active]
-        context = uni_n[bi_first]
-        p2 = (bi_n + PRIOR_BIGRAM * p1[bi_last]) / (context + PRIOR_BIGRAM)
+        ml = un / np.maximum(total, 1.0)
+        back = np.maximum(ml[:, active].mean(axis=1, keepdims=True), 1e-12) if active.any() else np.full((len(un), 1), 1.0)
+        p1 = (un + PRIOR_UNIGRAM * back) / (total + PRIOR_UNIGRAM)
+        trust1, trust2 = _trust(un, total)[:, None], _trust(bn, total)[:, None]
+        uni_ratio = np.log(p1[:, :k] / back) * trust1
+        share = ml[first][:, active]
+        context = un[first]
+        p2 = (bn + PRIOR_BIGRAM * p1[last]) / (context + PRIOR_BIGRAM)
         # the background's bigram: the classes' own, weighted by how likely each is in that context
-        seen = np.divide(bi_n, context, out=np.zeros_like(bi_n), where=context > 0)[:, active]
+        seen = np.divide(bn, context, out=np.zeros_like(bn), where=context > 0)[:, active]
         mixed = (share * seen).sum(axis=1, keepdims=True) / np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
         n_back = context.sum(axis=1, keepdims=True)
-        q2 = (n_back * mixed + PRIOR_BIGRAM * back[bi_last]) / (n_back + PRIOR_BIGRAM)
-        trust = _trust(bi_n, total)[:, None]
-        bi_ratio = trust * np.log(p2[:, :k] / q2) + (1 - trust) * uni_ratio[bi_last]
+        q2 = (n_back * mixed + PRIOR_BIGRAM * back[last]) / (n_back + PRIOR_BIGRAM)
+        bi_ratio = trust2 * np.log(p2[:, :k] / q2) + (1 - trust2) * uni_ratio[last]
         # what has no weight of its own is answered by the lower model, or by nothing
-        keep1, keep2 = _trust(uni_n, total) > 0, trust[:, 0] > 0
-        return SubjectModels(subjects, uni[keep1], uni_ratio[keep1].astype(np.float32), bi[keep2], bi_ratio[keep2].astype(np.float32))
+        keep1, keep2 = trust1[:, 0] > 0, trust2[:, 0] > 0
+        return SubjectModels(subjects, self.uni[keep1], self.bi[keep2], np.concatenate((uni_ratio[keep1], bi_ratio[keep2])).astype(np.float32), np.full(k, ACCEPT))
 
-    def scores(self, h: np.ndarray, sentence: np.ndarray, g: np.ndarray, g_at: np.ndarray) -> np.ndarray:
-        """Sum over the words of each sentence of log p(subject) - log p(background): sentences x subjects."""
-        n = int(sentence[-1]) + 1 if len(sentence) else 0
-        out = np.zeros((n, len(self.subjects)), dtype=np.float32)
-        row = np.full(len(h), -1, dtype=np.int64)
-        for keys, hashes, at, offset in ((self.uni, h, None, 0), (self.bi, g, g_at, len(self.uni))):
-            if len(keys) and len(hashes):
-                r = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                known = np.flatnonzero(keys[r] == hashes)
-                row[known if at is None else at[known]] = r[known] + offset
-        told = np.flatnonzero(row >= 0)
-        if len(told):
-            ratios = np.concatenate((self.uni_ratio, self.bi_ratio))[row[told]]
-            of = sentence[told]
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            out[of[starts]] = np.add.reduceat(ratios, starts, axis=0)
-        return out
+
+def _words_of_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
 
 
-def count_ngrams(h: np.ndarray, sentence: np.ndarray, g: np.ndarray, g_at: np.ndarray, label: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Counted (hash, class, count) of words and (hash, first, last, class, count) of bigrams; class -1 is left out."""
-    word_label = label[sentence]
-    pair_label = word_label[g_at]
-    uni, bi = [], []
+def count_ngrams(t: Tokens, label: np.ndarray) -> pd.DataFrame:
+    """(pair, hash, class, n) of the words and bigrams of the sentences of each class; class -1 is left out."""
+    sentence = t.sentence
+    g, at = t.pairs(sentence)
+    of_word = label[sentence]
+    of_pair = of_word[at]
+    parts = []
     for c in np.unique(label[label >= 0]).tolist():
-        u, n = np.unique(h[word_label == c], return_counts=True)
-        uni.append((u.view(np.int64), np.full(len(u), c), n))
-        at = np.flatnonzero(pair_label == c)
-        b, first, m = np.unique(g[at], return_index=True, return_counts=True)
-        end = g_at[at[first]]
-        bi.append((b.view(np.int64), h[end - 1].view(np.int64), h[end].view(np.int64), np.full(len(b), c), m))
-    none = np.zeros(0, np.int64)
-    together = lambda parts, k: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none,) * k
-    return together(uni, 3), together(bi, 5)
-
-
-def fit_counts(subjects: list[str], uni: pd.DataFrame, bi: pd.DataFrame, total: np.ndarray | None = None) -> SubjectModels:
-    """Models from counted n-grams: uni (hash, class, n), bi (hash, first, last, class, n); total as in ``SubjectModels.fit``."""
-    classes = len(subjects) + 1
-    words, inv = np.unique(uni["hash"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-    un = np.zeros((len(words), classes))
-    np.add.at(un, (inv, uni["class"].to_numpy()), uni["n"].to_numpy())
-    first = bi["first"].to_numpy(np.int64).view(np.uint64)
-    last = bi["last"].to_numpy(np.int64).view(np.uint64)
-    r1, r2 = (np.minimum(np.searchsorted(words, x), max(len(words) - 1, 0)) for x in (first, last))
-    ok = (words[r1] == first) & (words[r2] == last) if len(words) else np.zeros(len(first), bool)
-    pairs, at, inv2 = np.unique(bi["hash"].to_numpy(np.int64)[ok].view(np.uint64), return_index=True, return_inverse=True)
-    bn = np.zeros((len(pairs), classes))
-    np.add.at(bn, (inv2, bi["class"].to_numpy()[ok]), bi["n"].to_numpy()[ok])
-    return SubjectModels.fit(subjects, words, un, pairs, bn, r1[ok][at], r2[ok][at], total)
-
-
-def sample_counts(texts: Sequence[str], labels: Sequence[str], subjects: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+        for pair, keys in ((False, t.words[of_word == c]), (True, g[of_pair == c])):
+            u, n = np.unique(keys, return_counts=True)
+            parts.append(pd.DataFrame({"pair": pair, "hash": u.astype(np.uint64).view(np.int64), "class": np.int32(c), "n": n.astype(np.int64)}))
+    return pd.concat(parts) if parts else pd.DataFrame({"pair": np.zeros(0, bool), "hash": np.zeros(0, np.int64), "class": np.zeros(0, np.int32), "n": np.zeros(0, np.int64)})
+
+
+def sample_counts(texts: Sequence[str], labels: Sequence[str], subjects: list[str]) -> pd.DataFrame:
     """Counted n-grams of labelled samples; each sentence has its sample's subject."""
-    w, h, sentence, g, g_at = features(texts)
     number = {s: i for i, s in enumerate(subjects)}
-    by_text = np.array([number.get(x, -1) for x in labels], dtype=np.int64)
-    starts = np.flatnonzero(np.diff(sentence, prepend=-1))
-    label = by_text[w.text[starts]] if len(starts) else np.zeros(0, np.int64)
-    (a, c, n), (b, f, l, d, m) = count_ngrams(h, sentence, g, g_at, label)
-    uni = pd.DataFrame({"hash": a, "first": a, "last": np.zeros_like(a), "class": c, "n": n})
-    return uni, pd.DataFrame({"hash": b, "first": f, "last": l, "class": d, "n": m})
+    t = tokens_of(texts)
+    return count_ngrams(t, np.array([number.get(x, -1) for x in labels], dtype=np.int64)[t.text])
+
 
+def calibrated(counts: Counts, texts: Sequence[str], labels: Sequence[str], subjects: list[str]) -> SubjectModels:
+    """The models of all counts, with each subject's acceptance fitted on labelled sentences that its model has not counted.
 
-def fit_samples(texts: Sequence[str], labels: Sequence[str], subjects: list[str]) -> SubjectModels:
-    """First models, from the labelled samples alone."""
-    return fit_counts(subjects, *sample_counts(texts, labels, subjects))
+    The samples of each subject are dealt to FOLDS parts; each part's own counts are taken out of
+    the models that score it. A subject accepts from half way between the background (0) and the mean log-ratio per
+    word that all but MISSED of its held-out sentences reach, and never below what all but MISSED of the
+    others' sentences stay under. With fewer than LEAST_HELD sentences it keeps ACCEPT.
+    """
+    model = counts.models(subjects)
+    number = {s: i for i, s in enumerate(subjects)}
+    turn: dict[str, int] = {}
+    fold = np.array([turn.update({x: turn.get(x, -1) + 1}) or turn[x] % FOLDS for x in labels], dtype=np.int64)
+    told, truth = [], []
+    for f in range(FOLDS):
+        mine = np.flatnonzero((fold == f) & np.array([x in number for x in labels], dtype=bool))
+        if not len(mine):
+            continue
+        part, of = [texts[i] for i in mine], [labels[i] for i in mine]
+        t = tokens_of(part)
+        told.append(counts.less(sample_counts(part, of, subjects)).models(subjects).scores(t) / np.maximum(t.of_sentence, 1)[:, None])
+        truth.append(np.array([number[x] for x in of], dtype=np.int64)[t.text])
+    if told:
+        x, y = np.concatenate(told), np.concatenate(truth)
+        for k in range(len(subjects)):
+            own, others = x[y == k, k], x[y != k, k]
+            if len(own) >= LEAST_HELD:
+                floor = float(np.quantile(others, 1 - MISSED)) if len(others) else 0.0
+                model.accept[k] = max(float(np.quantile(own, MISSED)) / 2, floor, LOWEST)
+    return model
 
 
 def teach_labels(s: np.ndarray, none: int, doc: np.ndarray | None = None) -> np.ndarray:
@@ -234,31 +352,26 @@ def teach_labels(s: np.ndarray, none: int, doc: np.ndarray | None = None) -> np.
         return (top[:, -1] >= accept) & (top[:, -1] - np.maximum(second, 0) >= lead)
 
     label = np.full(len(s), -1, dtype=np.int64)
-    label[s.max(axis=1) < ACCEPT / 2] = none
+    label[s.max(axis=1) < CLEAR / 2] = none
     if doc is not None:
         starts = np.flatnonzero(np.diff(doc, prepend=-1))
         whole = np.add.reduceat(s, starts, axis=0)
         each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(s))))
-        led = clear(whole, ACCEPT, TEACH)[each]
+        led = clear(whole, CLEAR, TEACH)[each]
         label[led] = whole.argmax(axis=1)[each][led]
-    own = clear(s, ACCEPT, TEACH)
+    own = clear(s, CLEAR, TEACH)
     label[own] = s.argmax(axis=1)[own]
     return label
 
 
-def document_areas(model: SubjectModels, texts: Sequence[str | None], accept: float, share: float) -> list[list[str]]:
-    """The areas of each text: those that at least ``share`` of its sentences deal with."""
-    w, h, sentence, g, g_at = features(texts)
-    out: list[list[str]] = [[] for _ in texts]
-    if not len(h):
-        return out
-    s = model.scores(h, sentence, g, g_at)
-    starts = np.flatnonzero(np.diff(sentence, prepend=-1))
-    doc = w.text[starts]
-    total = np.bincount(doc, minlength=len(texts))
-    hit = s.max(axis=1) >= accept
+def document_areas(model: SubjectModels, t: Tokens, share: float) -> list[list[str]]:
+    """The areas of each text: those that at least ``share`` of its sentences deal with; a sentence may deal with several."""
+    out: list[list[str]] = [[] for _ in range(len(t.of_text))]
+    doc = t.text
     k = len(model.subjects)
-    counted = np.bincount(doc[hit] * k + s.argmax(axis=1)[hit], minlength=len(texts) * k).reshape(len(texts), k)
+    total = np.bincount(doc, minlength=len(out))
+    sentence, subject = np.nonzero(model.dealt(t))
+    counted = np.bincount(doc[sentence] * k + subject, minlength=len(out) * k).reshape(len(out), k)
     for d, j in zip(*np.nonzero((counted > 0) & (counted >= share * total[:, None])), strict=True):
         out[d].append(model.subjects[j])
     return out
@@ -270,60 +383,89 @@ def _read_samples(samples: DataFrame, text_col: str, subject_col: str) -> tuple[
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-_BATCH = 256
+#: Words that a block of tokenised texts holds before the next begins, and rows that are counted before they are combined.
+BLOCK_WORDS, HELD_ROWS = 500_000, 2_000_000
+
 
+def tokenised(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    """(ids, tokens): the documents with a text, tokenised once; each row is a block of documents with their ids in order.
 
-def train_models(docs: DataFrame, text_col: str, samples: DataFrame, sample_text: str, subject_col: str, subjects: list[str], *, rounds: int = 2) -> SubjectModels:
-    """Subject models from labelled samples, widened by the whole corpus.
+    Texts are tokenised whole; a block ends when it holds BLOCK_WORDS words. It is written to the
+    checkpoint folder, as every round of training and the judgement read it.
+    """
+    kind = dict(docs.dtypes)[id_col] if id_col else "bigint"
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: list = []
+        parts: list[Tokens] = []
+        for b in batches:
+            for k in range(0, len(b), 256):
+                part = b.iloc[k : k + 256]
+                ids += list(part.iloc[:, 1]) if id_col else []
+                parts.append(tokens_of(list(part.iloc[:, 0])))
+                if sum(len(t.words) for t in parts) >= BLOCK_WORDS:
+                    yield pd.DataFrame({"ids": [ids], "tokens": [_joined(parts).pack()]})
+                    ids, parts = [], []
+        if parts:
+            yield pd.DataFrame({"ids": [ids], "tokens": [_joined(parts).pack()]})
+
+    cols = [text_col, id_col] if id_col else [text_col]
+    return materialize(docs.select(*cols).where(F.col(text_col).isNotNull()).mapInPandas(blocks, f"ids array<{kind}>, tokens binary"))
+
+
+def _joined(parts: list[Tokens]) -> Tokens:
+    return Tokens(*(np.concatenate([getattr(t, f) for t in parts]) for f in ("words", "of_sentence", "of_text")))
+
+
+def train_models(blocks: DataFrame, samples: DataFrame, sample_text: str, subject_col: str, subjects: list[str], *, rounds: int = 2) -> SubjectModels:
+    """Subject models from labelled samples, widened by the whole tokenised corpus, with calibrated acceptance.
 
     Models of the samples label the sentences of all documents that they are sure of (in the first
     round also the other sentences of documents that they are sure of); the n-grams
-    of those sentences are counted over the whole corpus (combined per task before the shuffle)
+    of those sentences are counted over the whole corpus (combined per task before the one shuffle by n-gram)
     and, with those of the samples, give the next models, ``rounds`` times. The G statistic is computed
     where the counts are: every n-gram with a weight comes to the driver, and the words of those bigrams;
     the others have no row in a model, so that it is the model of all counts.
     """
-    own = sample_counts(*_read_samples(samples, sample_text, subject_col), subjects)
-    model = fit_counts(subjects, *own)
+    texts, labels = _read_samples(samples, sample_text, subject_col)
+    own = sample_counts(texts, labels, subjects)
     none = len(subjects)
-    spark = docs.sparkSession
-    grams_of = "hash bigint, first bigint, last bigint, pair boolean, class int, n bigint"
-    mine = pd.concat([x.assign(pair=p) for x, p in zip(own, (False, True), strict=True)])[["hash", "first", "last", "pair", "class", "n"]].astype({"class": np.int32, "n": np.int64})
-    taught = spark.createDataFrame(pa.Table.from_pandas(mine, preserve_index=False))
+    counts = Counts.of(none + 1, own)
+    spark = blocks.sparkSession
+    grams_of = "pair boolean, hash bigint, class int, n bigint"
+    taught = spark.createDataFrame(pa.Table.from_pandas(own, preserve_index=False)).select("pair", "hash", F.col("class").cast("int"), "n") if len(own) else spark.createDataFrame([], grams_of)
     for turn in range(rounds):
+        told = spark.sparkContext.broadcast(counts.models(subjects))
 
-        def count(batches: Iterator[pd.DataFrame], model: SubjectModels = model, by_document: bool = turn == 0) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame], told: Broadcast = told, by_document: bool = turn == 0) -> Iterator[pd.DataFrame]:
+            model = told.value
             held: list[pd.DataFrame] = []
-            size = 0
             for b in batches:
-                for k in range(0, len(b), _BATCH):
-                    w, h, sentence, g, g_at = features(list(b.iloc[k : k + _BATCH, 0]))
-                    if not len(h):
-                        continue
-                    doc = w.text[np.flatnonzero(np.diff(sentence, prepend=-1))] if by_document else None
-                    (a, c, n), (x, f, l, d, m) = count_ngrams(h, sentence, g, g_at, teach_labels(model.scores(h, sentence, g, g_at), none, doc))
-                    held.append(pd.DataFrame({"hash": np.concatenate((a, x)), "first": np.concatenate((a, f)), "last": np.concatenate((np.zeros_like(a), l)), "pair": np.concatenate((np.zeros(len(a), bool), np.ones(len(x), bool))), "class": np.concatenate((c, d)).astype(np.int32), "n": np.concatenate((n, m))}))
-                    size += len(held[-1])
-                    if size > 2_000_000:
+                for blob in b["tokens"]:
+                    t = Tokens.unpack(blob)
+                    held.append(count_ngrams(t, teach_labels(model.scores(t), none, t.text if by_document else None)))
+                    if sum(map(len, held)) > HELD_ROWS:
                         yield _combined(held)
-                        held, size = [], 0
+                        held = []
             if held:
                 yield _combined(held)
 
-        counted = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInPandas(count, grams_of).unionByName(taught)
-        per_class = counted.groupBy("pair", "hash", "first", "last", "class").agg(F.sum("n").alias("n"))
+        counted = blocks.select("tokens").mapInPandas(count, grams_of).unionByName(taught)
+        # one shuffle serves both aggregates: rows of an n-gram are few, one a task and class
+        per_class = counted.repartition("pair", "hash").groupBy("pair", "hash", "class").agg(F.sum("n").alias("n"))
         # written once: the totals and both orders are read from it without counting again
-        grams = materialize(per_class.groupBy("pair", "hash", "first", "last").agg(F.collect_list(F.struct("class", "n")).alias("by_class")))
+        grams = materialize(per_class.groupBy("pair", "hash").agg(F.collect_list(F.struct("class", "n")).alias("by_class")))
         words = grams.where(~F.col("pair"))
         total = np.zeros(none + 1)
         for r in words.select(F.explode("by_class").alias("c")).groupBy("c.class").agg(F.sum("c.n").alias("n")).collect():
             total[r["class"]] = r["n"]
         pairs = grams.where(F.col("pair") & _weighty(F.col("by_class"), total))
-        of_pairs = pairs.select(F.explode(F.array("first", "last")).alias("hash")).distinct().withColumn("of_pair", F.lit(True))
+        of_pairs = pairs.select(F.explode(F.array(F.shiftrightunsigned("hash", 32), F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("hash")).distinct().withColumn("of_pair", F.lit(True))
         words = words.join(of_pairs, "hash", "left").where(F.col("of_pair") | _weighty(F.col("by_class"), total))
-        parts = [x.select("hash", "first", "last", F.explode("by_class").alias("c")).select("hash", "first", "last", "c.class", "c.n").toPandas() for x in (words, pairs)]
-        model = fit_counts(subjects, *parts, total)
-    return model
+        parts = words.select("pair", "hash", "by_class").unionByName(pairs.select("pair", "hash", "by_class"))
+        counts = Counts.of(none + 1, parts.select("pair", "hash", F.explode("by_class").alias("c")).select("pair", "hash", "c.class", "c.n").toPandas(), total)
+        told.unpersist()
+    return calibrated(counts, texts, labels, subjects)
 
 
 def _weighty(by_class: Column, total: np.ndarray) -> Column:
@@ -336,28 +478,28 @@ def _weighty(by_class: Column, total: np.ndarray) -> Column:
 
 
 def _combined(held: list[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(held).groupby(["hash", "first", "last", "pair", "class"], as_index=False, sort=False)["n"].sum()
+    return pd.concat(held).groupby(["pair", "hash", "class"], as_index=False, sort=False)["n"].sum()
 
 
-def find_areas(docs: DataFrame, id_col: str, text_col: str, samples: DataFrame, subjects: DataFrame, *, accept: float = ACCEPT, share: float = SHARE, rounds: int = 2) -> DataFrame:
+def find_areas(docs: DataFrame, id_col: str, text_col: str, samples: DataFrame, subjects: DataFrame, *, share: float = SHARE, rounds: int = 2) -> DataFrame:
     """(id, subject) of each document and area that at least ``share`` of its sentences deal with.
 
-    A sentence belongs to the subject whose n-gram model gives it the lowest cross-entropy, if that
-    is below the background's by ``accept`` nats in all; other sentences count in the denominator
-    only. Documents with NULL, empty or procedural text have no row; each document row is judged.
+    A sentence deals with every subject whose n-gram model has a cross-entropy per word below the
+    background's by at least what the subject's calibration asks for. Documents with NULL, empty or procedural text
+    have no row; each document row is judged.
     """
     names = sorted(r[0] for r in subjects.select("subject").where(F.col("subject").isNotNull()).distinct().collect())
-    model = train_models(docs, text_col, samples, "text", "subject", names, rounds=rounds)
+    blocks = tokenised(docs, id_col, text_col)
+    told = docs.sparkSession.sparkContext.broadcast(train_models(blocks, samples, "text", "subject", names, rounds=rounds))
     kind = dict(docs.dtypes)[id_col]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), _BATCH):
-                part = b.iloc[k : k + _BATCH]
-                found = [(i, s) for i, areas in zip(part.iloc[:, 0], document_areas(model, list(part.iloc[:, 1]), accept, share), strict=True) for s in areas]
+            for ids, blob in zip(b["ids"], b["tokens"], strict=True):
+                found = [(i, s) for i, areas in zip(ids, document_areas(told.value, Tokens.unpack(blob), share), strict=True) for s in areas]
                 yield pd.DataFrame(found, columns=["id", "subject"])
 
-    return docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).mapInPandas(judge, f"`id` {kind}, subject string").select(F.col("id").alias(id_col), "subject")
+    return blocks.mapInPandas(judge, f"`id` {kind}, subject string").select(F.col("id").alias(id_col), "subject")
 
 
 def corpus_composition(areas: DataFrame) -> DataFrame:

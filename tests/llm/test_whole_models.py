@@ -14,16 +14,45 @@ def test_no_weighty_ngram_is_left_out(spark, data_dir, monkeypatch):
     monkeypatch.setattr(subjects, "MAX_NGRAMS", 50, raising=False)
     docs, samples = table(spark, data_dir, "documents"), table(spark, data_dir, "subject_samples")
     names = sorted({r.subject for r in samples.collect()})
-    got = subjects.train_models(docs, "text", samples, "text", "subject", names, rounds=1)
+    got = subjects.train_models(subjects.tokenised(docs, "doc_id", "text"), samples, "text", "subject", names, rounds=1)
     rows = samples.collect()
     own = subjects.sample_counts([r.text for r in rows], [r.subject for r in rows], names)
-    first = subjects.fit_counts(names, *own)
-    w, h, sentence, g, g_at = subjects.features([r.text for r in docs.where("text IS NOT NULL").select("text").collect()])
-    doc = w.text[np.flatnonzero(np.diff(sentence, prepend=-1))]
-    uni, bi = subjects.count_ngrams(h, sentence, g, g_at, subjects.teach_labels(first.scores(h, sentence, g, g_at), len(names), doc))
-    frames = pd.DataFrame(dict(zip(("hash", "class", "n"), uni, strict=True))), pd.DataFrame(dict(zip(("hash", "first", "last", "class", "n"), bi, strict=True)))
-    want = subjects.fit_counts(names, *(pd.concat((a, b)) for a, b in zip(own, frames, strict=True)))
+    first = subjects.Counts.of(len(names) + 1, own).models(names)
+    t = subjects.tokens_of([r.text for r in docs.where("text IS NOT NULL").select("text").collect()])
+    taught = subjects.count_ngrams(t, subjects.teach_labels(first.scores(t), len(names), t.text))
+    want = subjects.Counts.of(len(names) + 1, pd.concat((own, taught))).models(names)
     assert len(want.bi) > 50
-    for field in ("uni", "bi"):
-        assert np.array_equal(getattr(got, field), getattr(want, field))
-        assert np.allclose(getattr(got, f"{field}_ratio"), getattr(want, f"{field}_ratio"), atol=1e-5)
+    assert np.array_equal(got.uni, want.uni) and np.array_equal(got.bi, want.bi)
+    assert np.allclose(got.ratio, want.ratio, atol=1e-5)
+
+
+def test_tokens_keep_texts_and_sentences():
+    texts = ["Unu doi. Trei 4 5!\n\nȘase", None, "", "șapte"]
+    t = subjects.tokens_of(texts)
+    again = subjects.Tokens.unpack(t.pack())
+    assert t.of_text.tolist() == [6, 0, 0, 1] and t.of_sentence.tolist() == [2, 3, 1, 1] and t.text.tolist() == [0, 0, 0, 3]
+    assert all(np.array_equal(getattr(t, f), getattr(again, f)) for f in ("words", "of_sentence", "of_text"))
+    assert t.words[3] == t.words[4] and len(t.pairs(t.sentence)[0]) == 3
+    assert len(subjects.tokens_of([]).text) == 0
+
+
+def test_held_out_counts_are_those_of_the_rest():
+    texts, labels = ["alfa beta alfa", "gama beta", "alfa delta"], ["a", "b", "a"]
+    whole = subjects.Counts.of(3, subjects.sample_counts(texts, labels, ["a", "b"]))
+    less = whole.less(subjects.sample_counts(texts[:1], labels[:1], ["a", "b"]))
+    rest = subjects.Counts.of(3, subjects.sample_counts(texts[1:], labels[1:], ["a", "b"]))
+    seen = less.uni_n.sum(axis=1) > 0
+    assert np.array_equal(less.uni[seen], rest.uni) and np.array_equal(less.uni_n[seen], rest.uni_n) and np.array_equal(less.total, rest.total)
+
+
+def test_a_sentence_may_deal_with_several_subjects():
+    names = ["a", "b"]
+    rng = np.random.default_rng(1)
+    words = {"a": ["alfa", "beta", "gama"], "b": ["unu", "doi", "trei"]}
+    texts = [" ".join(rng.choice(words[x], 8)).capitalize() + "." for x in names for _ in range(30)]
+    labels = ["a"] * 30 + ["b"] * 30
+    m = subjects.calibrated(subjects.Counts.of(3, subjects.sample_counts(texts, labels, names)), texts, labels, names)
+    t = subjects.tokens_of([texts[0], texts[40], "Nimic despre acestea."])
+    assert m.dealt(t).tolist() == [[True, False], [False, True], [False, False]]
+    m.accept[:] = -99
+    assert m.dealt(t).all() and subjects.document_areas(m, t, 0.25) == [names] * 3
