@@ -108,6 +108,8 @@ def split_texts(df: DataFrame, text_col: str, *, limit: int = 4000, overlap: int
         for b in batches:
             yield b.map(lambda v: None if v is None else [{"s": s, "e": e} for s, e in cut(v, limit, overlap)])
 
+    # declared as not deterministic, so that the planner never computes it twice (for a filter on its size, too)
+    spans = spans.asNondeterministic()
     text = F.col(text_col)
     own = F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e")))
     empty = F.array().cast(span_t)
