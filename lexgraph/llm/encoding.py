@@ -105,7 +105,8 @@ def _encode_long(long: DataFrame, id_col: str, path: str, chunk: int, lap: int)
                 high.append([e for e in ends if e > a + chunk])
             yield pd.DataFrame({"low": low, "high": high})
 
-    # one row per text and chunk; the row key keeps repeated ids apart
+    # one row per text and chunk; the row key keeps repeated ids apart. Each step works on the rows of the step
+    # before and no step reads the input again, so keys that a retried task gives anew meet only each other
     rows = long.withColumn(row, F.concat_ws("-", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.monotonically_increasing_id().cast("string")))
     rows = rows.withColumn("__n", F.length("text"))
     starts = F.transform(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / chunk).cast("int")), lambda i: i * chunk)
@@ -113,8 +114,8 @@ def _encode_long(long: DataFrame, id_col: str, path: str, chunk: int, lap: int)
     read = rows.select(id_col, row, "__n", F.posexplode(windows).alias(no, "c")).select(
         id_col, row, no, F.col("c.w").alias("w"), F.col("c.at").alias("at"), (F.col("c.at") + chunk + lap >= F.col("__n")).alias("last")
     )
-    # the two zones and the chunk's own text travel to the stitching; texts are cut once more below
-    zoned = read.select(id_col, row, no, "at", F.substring("w", 1, chunk).alias("own"), zones("w", "at", "last").alias("z"))
+    # the chunks of one text go to different tasks
+    zoned = read.repartition(row, no).select(id_col, row, no, "at", F.substring("w", 1, chunk).alias("own"), zones("w", "at", "last").alias("z"))
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("no", T.IntegerType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
     def stitched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -133,19 +134,14 @@ def _encode_long(long: DataFrame, id_col: str, path: str, chunk: int, lap: int)
                 out.append([{"no": i, "s": s, "e": e} for i, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))])
             yield pd.Series(out)
 
-    plan = zoned.groupBy(row).agg(F.collect_list(F.struct(F.col(no).alias("no"), F.col("z.low").alias("low"), F.col("z.high").alias("high"), (F.col("at") + F.length("own")).alias("n"))).alias("cs"))
-    pieces = plan.select(row, F.explode(stitched("cs")).alias("p")).select(row, "p.*")
-    # a piece takes its characters from the chunks it touches
-    parts = (
-        pieces.withColumn(no, F.explode(F.sequence(F.floor(F.col("s") / chunk).cast("int"), F.floor((F.col("e") - 1) / chunk).cast("int"))))
-        .join(zoned.select(row, no, id_col, "at", "own"), [row, no])
-        .withColumn("part", F.substring("own", F.greatest(F.col("s") - F.col("at"), F.lit(0)) + 1, F.least(F.col("e") - F.col("at"), F.lit(chunk)) - F.greatest(F.col("s") - F.col("at"), F.lit(0))))
-    )
-    joined = (
-        parts.groupBy(row, "no")
-        .agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.struct(F.col(no).alias("k"), "part"))).alias("ps"))
-        .select(row, "no", id_col, F.concat_ws("", F.transform("ps", lambda p: p["part"])).alias("piece"))
-    )
+    stitched = stitched.asNondeterministic()  # never computed twice
+    zone = F.struct(F.col(no).alias("no"), F.col("z.low").alias("low"), F.col("z.high").alias("high"), (F.col("at") + F.length("own")).alias("n"))
+    texts = zoned.groupBy(row).agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.struct(zone.alias("z"), "own"))).alias("cs"))
+    texts = texts.select(row, id_col, F.col("cs.own").alias("owns"), stitched("cs.z").alias("ps"))
+    # a piece takes its characters from the chunks it touches only
+    begin = F.floor(F.col("p.s") / chunk).cast("int")
+    touched = F.array_join(F.slice("owns", begin + 1, F.floor((F.col("p.e") - 1) / chunk).cast("int") - begin + 1), "")
+    joined = texts.select(row, id_col, "owns", F.explode("ps").alias("p")).select(row, id_col, F.col("p.no").alias("no"), F.substring(touched, F.col("p.s") - begin * chunk + 1, F.col("p.e") - F.col("p.s")).alias("piece")).repartition(row, "no")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
