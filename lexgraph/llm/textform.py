@@ -20,6 +20,8 @@ MAX_VOCABULARY = 20_000
 
 _OTHER = "".join(f"{a}-{b}" for a, b in chars.OTHER_SCRIPT_RANGES) + "ɡ"
 _HAS_OTHER = re.compile(f"[{_OTHER}]")
+# Other Latin letters that a look-alike of the tables may stand for; the vocabulary decides.
+AMBIGUOUS: dict[str, str] = {"Ι": "l", "І": "l", "Ӏ": "l", "ӏ": "I", "υ": "vy", "ν": "u", "ү": "v", "Ү": "V"}
 #: A word is a run of letters and combining marks.
 _WORD = re.compile(r"(?:[^\W\d_]|[̀-ͯ])+")
 _HAS_LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
@@ -29,8 +31,10 @@ _PIECE = re.compile(r"\S+")
 class SpellingTrie:
     """Vocabulary trie walked by a weighted edit automaton.
 
-    Equal characters, look-alikes, width variants and joined letters cost nothing, and so do
-    ignorable characters of the token; any other insertion, deletion or substitution costs 1.
+    Equal characters, look-alikes (each letter they may stand for), width variants and joined
+    letters cost nothing, and so do ignorable characters of the token; any other insertion,
+    deletion or substitution costs 1. With ``strange`` only characters of another script that
+    no table knows may be substituted.
     """
 
     __slots__ = ("_root", "size")
@@ -46,12 +50,20 @@ class SpellingTrie:
                 node[""] = (rank, word)
                 self.size += 1
 
-    def match(self, token: str, budget: int = 0) -> str | None:
+    def __contains__(self, word: str) -> bool:
+        node = self._root
+        for ch in word:
+            if (node := node.get(ch)) is None:
+                return False
+        return "" in node
+
+    def match(self, token: str, budget: int = 0, *, strange: bool = False) -> str | None:
         """The cheapest vocabulary spelling within ``budget``; ties go to the earlier (more frequent) one."""
         token = unicodedata.normalize("NFC", token)
         frontier: dict[int, tuple[dict, int]] = {id(self._root): (self._root, 0)}
         for ch in token:
             forms = _forms(ch)
+            unknown = strange and ch not in _KNOWN_OTHER and _HAS_OTHER.match(ch) is not None
             step: dict[int, tuple[dict, int]] = {}
 
             def reach(node: dict, cost: int, step: dict = step) -> None:
@@ -68,12 +80,13 @@ class SpellingTrie:
                             break
                     if at is not None:
                         reach(at, cost)
-                if cost < budget:
-                    reach(node, cost + 1)
+                if cost < budget and (unknown or not strange):
+                    if not strange:
+                        reach(node, cost + 1)
                     for c, child in node.items():
                         if c:
                             reach(child, cost + 1)
-            if budget:
+            if budget and not strange:
                 self._open(step, budget)
             if not step:
                 return None
@@ -104,6 +117,7 @@ def _forms(ch: str) -> tuple[str, ...]:
     swapped = "".join(chars.LOOKALIKES.get(c, c) for c in base)
     if swapped != base:
         forms.add(unicodedata.normalize("NFC", swapped))
+    forms.update(AMBIGUOUS.get(ch, ""))
     return tuple(sorted(forms))
 
 
@@ -130,7 +144,7 @@ def table_form(text: str) -> str:
 
 
 def consistent_text(text: str, trie: SpellingTrie, memo: dict[str, str] | None = None) -> str:
-    """The consistent form of one text: vocabulary spelling where a token reaches one at no cost, else by table."""
+    """The consistent form of one text, word by word: by table where that gives a vocabulary spelling, else the spelling the automaton reaches, else by table."""
     memo = {} if memo is None else memo
     spaced = text.translate(_SPACES)
 
@@ -141,7 +155,7 @@ def consistent_text(text: str, trie: SpellingTrie, memo: dict[str, str] | None =
         got = memo.get(token)
         if got is None:
             plain = table_form(token)
-            if plain == token:
+            if plain == token and not any(is_mixed(w[0]) for w in _WORD.finditer(token)):
                 got = token
             else:
                 # words apart, so that punctuation at a token's edge does not hide a spelling
@@ -163,11 +177,30 @@ def _merge_ignorable(token: str) -> str:
     return unicodedata.normalize("NFC", token.translate(_IGNORABLE))
 
 
+_KNOWN_OTHER = frozenset(chars.LOOKALIKES) | frozenset(AMBIGUOUS)
+
+
+def is_mixed(word: str) -> bool:
+    """A word of Latin letters that holds a letter of another script."""
+    return _HAS_OTHER.search(word) is not None and _HAS_LATIN.search(word) is not None
+
+
 def _spell(word: str, trie: SpellingTrie) -> str:
+    """The table's reading where it is a known spelling, else the spelling that the automaton reaches, else the table's reading.
+
+    A look-alike of several letters (a Cyrillic I for I or l) is so decided by the vocabulary, and a
+    letter of another script that no table knows costs one substitution by the letter of a known spelling.
+    """
     plain = table_form(word)
-    if plain == word:
-        return word
-    return trie.match(word) or plain
+    if plain == word and not is_mixed(word) or plain in trie:
+        return plain
+    unknown = sum(c not in _KNOWN_OTHER and _HAS_OTHER.match(c) is not None for c in unicodedata.normalize("NFC", word))
+    return trie.match(word) or (unknown and is_mixed(plain) and trie.match(word, unknown, strange=True)) or plain
+
+
+def is_consistent(text: str, form: str) -> bool:
+    """Whether a value is in the consistent form: its form is itself, and no word in it is mixed (whatever its form could not resolve)."""
+    return text == form and not (_HAS_OTHER.search(text) and any(is_mixed(m[0]) for m in _WORD.finditer(text)))
 
 
 def form_udf(vocabulary: list[str]):
@@ -205,7 +238,7 @@ def with_form(df: DataFrame, col: str, out: str, vocabulary: list[str]) -> DataF
 
 
 def find_inconsistent(df: DataFrame, id_col: str, cols: list[str], tbl: str, vocabulary: list[str]) -> DataFrame:
-    """(tbl, row_id, fld, value, form) of each value that is not in the consistent form.
+    """(tbl, row_id, fld, value, form) of each value that is not in the consistent form, mixed words of letters that no table and no spelling resolves included.
 
     One scan; only values with a suspicious character reach Python. NULLs and empty texts are
     consistent. Repeated rows are reported for each row.
@@ -217,7 +250,7 @@ def find_inconsistent(df: DataFrame, id_col: str, cols: list[str], tbl: str, voc
         trie, memo = SpellingTrie(vocabulary), {}
         for b in batches:
             b["form"] = [consistent_text(v, trie, memo) for v in b["value"]]
-            yield b[b["form"] != b["value"]]
+            yield b[[not is_consistent(v, f) for v, f in zip(b["value"], b["form"], strict=True)]]
 
     # a map and not a UDF with a filter, which the planner would compute twice
     return values.mapInPandas(changed, "row_id bigint, fld string, value string, form string").select(F.lit(tbl).alias("tbl"), "row_id", "fld", "value", "form")

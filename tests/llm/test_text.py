@@ -128,6 +128,30 @@ def test_trie_budget():
     assert t.match("lexe", 1) == "lege" and t.match("legeaa", 1) == "legea" and t.match("lc", 1) == "loc"
 
 
+@pytest.mark.parametrize(
+    ("raw", "by_vocabulary", "by_table"),
+    [
+        ("GuvernuІ României", "Guvernul României", "GuvernuI României"),
+        ("Minisтeгul", "Ministerul", "Minisтeгul"),
+        ("υerde", "verde", "uerde"),
+        ("ＧuvernuӀ,", "Guvernul,", "GuvernuI,"),
+        ("Іon", "Ion", "Ion"),
+        ("lunar υniс", "lunar unic", "lunar unic"),
+        ("Жудец Miniжter", "Жудец Miniжter", "Жудец Miniжter"),
+    ],
+)
+def test_the_vocabulary_decides_what_the_table_cannot(raw, by_vocabulary, by_table):
+    words = ["Guvernul", "Ministerul", "verde", "vnic", "unic", "Ion"]
+    assert textform.consistent_text(raw, textform.SpellingTrie(words)) == by_vocabulary
+    assert textform.consistent_text(raw, textform.SpellingTrie([])) == by_table
+
+
+def test_unresolved_mixed_words_are_reported(spark):
+    df = spark.createDataFrame([(1, "Miniжter"), (2, "Жудец"), (3, "Minisтeгul"), (4, "5 μ")], "triple_id bigint, head string")
+    got = {r.row_id: r.form for r in textform.find_inconsistent(df, "triple_id", ["head"], "t", ["Ministerul"]).collect()}
+    assert got == {1: "Miniжter", 3: "Ministerul"}
+
+
 def test_find_inconsistent(spark):
     df = spark.createDataFrame([(1, "lege", None, 5), (2, "lеge", "Guvernul Roma\u0302niei", 5), (2, "lеge", "", 5)], "triple_id bigint, head string, tail string, value int")
     got = [(r.tbl, r.row_id, r.fld, r.form) for r in textform.find_inconsistent(df, "triple_id", ["head", "tail"], "t", ["lege"]).collect()]
