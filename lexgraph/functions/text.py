@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..constants import EDGE_PUNCTUATION, MONTHS, RELATION_SYNONYMS, RELATIONS
 
 # How the line of the official gazette is written.
-_GAZETTE = r"(?iU)MONITORUL\s+OFICIAL\s+nr\.?\s*[0-9][0-9.]*\s+din\s+(?:data\s+(?:de\s+)?)?[0-9]{1,2}\s+\p{L}+\s+[0-9]{4}"
+GAZETTE = r"(?iU)MONITORUL\s+OFICIAL\s+nr\.?\s*[0-9][0-9.]*\s+din\s+(?:data\s+(?:de\s+)?)?[0-9]{1,2}\s+\p{L}+\s+[0-9]{4}"
 
 # Combining marks, and the ranges around the other characters that composition changes (Greek, Indic, Tibetan, Hebrew, Hangul, spaces, signs, compatibility ideographs).
 _UNCOMPOSED = r"[\p{M}\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C-\u0B5D\u0F43-\u0F69\u1160-\u11FF\u1F00-\u1FFF\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
@@ -36,8 +36,8 @@ def comma_below(c: Column) -> Column:
 
 def strip_gazette_header(c: Column) -> Column:
     """Drops everything through the first line that names the official gazette's number and date; unchanged without one."""
-    line = f"(?s)^.*?{_GAZETTE}[^\\n]*\\n*"
-    return F.when(c.rlike(_GAZETTE), F.regexp_replace(c, line, "")).otherwise(c)
+    line = f"(?s)^.*?{GAZETTE}[^\\n]*\\n*"
+    return F.when(c.rlike(GAZETTE), F.regexp_replace(c, line, "")).otherwise(c)
 
 
 def tidy_whitespace(c: Column) -> Column:
@@ -52,14 +52,19 @@ def normalize_ro(c: Column) -> Column:
 
 def strip_accents(c: Column) -> Column:
     """Base letters of Latin letters with marks."""
+    return F.translate(c, *accent_tables())
+
+
+@lru_cache(maxsize=1)
+def accent_tables() -> tuple[str, str]:
+    """Letters with marks (and then the marks themselves, which vanish), and their base letters."""
     src, dst = [], []
     for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         d = unicodedata.normalize("NFD", chr(cp))
         if len(d) > 1 and d[0].isascii():
             src.append(chr(cp))
             dst.append(d[0])
-    marks = "".join(chr(x) for x in range(0x300, 0x370))
-    return F.translate(c, "".join(src) + marks, "".join(dst))
+    return "".join(src) + "".join(chr(x) for x in range(0x300, 0x370)), "".join(dst)
 
 
 def norm_key(c: Column) -> Column:

@@ -45,20 +45,20 @@ def alias_dim(meta: DataFrame) -> DataFrame:
 
 
 # Forms from which an identifier can be made.
-_SYNTH = (
+SYNTH = (
     ("oug", r"^(?:ordonanta de urgenta(?: a guvernului)?|o\.?\s?u\.?\s?g\.?)"),
     ("og", r"^(?:ordonanta(?: a? ?guvernului)?|o\.?\s?g\.?)"),
     ("hg", r"^(?:hotararea? (?:a |de )?guvern(?:ului)?|h\.?\s?g\.?)"),
     ("lege", r"^(?:legea|lege)"),
 )
-_NUMBER = r"\s*(?:nr\.?)?\s*([0-9][0-9.]*)\s*/\s*([0-9]{4})$"
+NUMBER = r"\s*(?:nr\.?)?\s*([0-9][0-9.]*)\s*/\s*([0-9]{4})$"
 
 
 def synthesize(key: Column) -> Column:
     """Identifier of a well-formed citation of an unregistered act (its whole key), thousands dots dropped; else NULL."""
     out = F.when(F.lit(False), "")
-    for prefix, form in _SYNTH:
-        p = form + _NUMBER
+    for prefix, form in SYNTH:
+        p = form + NUMBER
         out = out.when(key.rlike(p), F.concat_ws("_", F.lit(prefix), F.replace(F.regexp_extract(key, p, 1), F.lit("."), F.lit("")), F.regexp_extract(key, p, 2)))
     return out
 
@@ -86,6 +86,23 @@ def resolve(df: DataFrame, col: str, aliases: DataFrame | None, out: str = "reso
     return keyed.withColumn(out, F.coalesce(literal, F.col(a), code_name(F.col(k)), synthesize(F.col(k)))).drop(k, raw, a)
 
 
+def known_law_ids(meta: DataFrame) -> DataFrame:
+    """(law_id) of every registered act, once."""
+    return meta.where(F.col("law_id").isNotNull()).select("law_id").distinct()
+
+
+def latest_meta(meta: DataFrame) -> DataFrame:
+    """One registration of each act: the latest, then the one of the greatest meta_id (where the columns exist); a combinable maximum."""
+    order = [F.col(c) for c in ("registered_at", "meta_id") if c in meta.columns] or [F.lit(0)]
+    whole = F.struct(*meta.columns)
+    return meta.where(F.col("law_id").isNotNull()).groupBy(F.col("law_id").alias("_id")).agg(F.max_by(whole, F.struct(*order)).alias("_m")).select("_m.*")
+
+
+def get_meta(meta: DataFrame, law_id: str) -> DataFrame:
+    """The latest registration of one act: one row, none for an unknown act."""
+    return latest_meta(meta.where(F.col("law_id") == law_id))
+
+
 # Characters that count as blanks in entities, besides white space.
 _BLANKS = r"[\u200b-\u200f\u2060\ufeff\u00a0]"
 

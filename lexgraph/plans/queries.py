@@ -11,7 +11,7 @@ from ..constants import ASYMMETRIC, CROSS_REFERENCES, FUNCTIONAL, IRREFLEXIVE, M
 from ..functions import text as tx
 from ..operators import axioms, cite, extract, graph, report, resolve, score, segment, store, vector
 from ..runtime import table
-from . import references
+from . import references, whole
 from .pipeline import corpus_triples
 from .views import ACT_LINES_SQL, KG_EVENTS_SQL, KG_LINEITEM_SQL, act_texts, kg_events, kg_lineitem
 
@@ -33,20 +33,6 @@ KG = f"WITH kg AS ({KG_EVENTS_SQL})"
 # ---- text -----------------------------------------------------------------------------------------------------------
 
 
-def norm_ro(spark: SparkSession, d: str) -> DataFrame:
-    """Law texts made of documents: a gazette header, cedillas and stray white space around each text's first line."""
-    t = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"(?i)monitorul|\p{M}"))
-    raw = F.concat(F.lit("LEGE nr. 1\nPublicat în MONITORUL OFICIAL nr. 12 din 3 mai 2001\n\n\n\nPreviziuni şi ţinte  \t\n\n\n\n"), F.col("doc_id").cast("string"), F.lit("  \n"))
-    return t.select("doc_id", tx.normalize_ro(raw).alias("norm"))
-
-
-def norm_ro_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Every text of documents and legislative_corpus as stored, normalised."""
-    docs = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), F.col("text").alias("t"))
-    acts = table(spark, d, "legislative_corpus").select(F.lit("legislative_corpus").alias("tbl"), F.col("corpus_id").alias("row_id"), F.col("law_text").alias("t"))
-    return docs.unionByName(acts).select("tbl", "row_id", tx.normalize_ro(F.col("t")).alias("norm"))
-
-
 def norm_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "law_meta").select("meta_id", tx.norm_key(F.concat(F.lit(" «"), F.col("titlu"), F.lit("» ;"))).alias("key"))
 
@@ -89,18 +75,6 @@ def segment_articles(spark: SparkSession, d: str) -> DataFrame:
     return a.select("law_id", "article_number", F.col("text").alias("body"))
 
 
-def llm_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows per document, of texts without empty lines."""
-    t = table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.regexp_replace("text", "\n", " ").alias("t"))
-    w = segment.llm_windows(F.col("t"), size=1000, overlap=100)
-    return t.select("doc_id", F.size(w).alias("n_windows"), F.length(F.element_at(w, -1)).alias("last_chars"))
-
-
-def llm_windows_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Every window of every document's text as stored, paragraphs packed; a NULL text has none."""
-    return extract.windows_of(table(spark, d, "documents").select("doc_id", "text"), size=1000, overlap=100)
-
-
 def cite_scan(spark: SparkSession, d: str) -> DataFrame:
     a = segment.split_into_articles(act_texts(spark, d))
     c = cite.cited(a.select("law_id", "article_number", "text"), "text")
@@ -379,16 +353,6 @@ def val_spotcheck(spark: SparkSession, d: str) -> DataFrame:
     return s.select("law_id", "n_triples", "n_relations", "n_cross_references", F.size("sample").alias("n_sample"))
 
 
-def law_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Lengths of the acts without other than ASCII and Romanian letters; law_summary_full has all acts."""
-    return report.law_summary(table(spark, d, "legislative_corpus").where(~F.col("law_text").rlike(r"[^\x00-\x7FăâîșțĂÂÎȘȚ]"))).select("corpus_id", "n_chars")
-
-
-def law_summary_full(spark: SparkSession, d: str) -> DataFrame:
-    """Length and preview of every act of the corpus."""
-    return report.law_summary(table(spark, d, "legislative_corpus")).select("corpus_id", "n_chars", "preview")
-
-
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest vectors of every hundredth one."""
     e = table(spark, d, "embeddings")
@@ -403,17 +367,17 @@ def pipeline_triples(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL: tuple[Query, ...] = (
-    norm_ro, norm_ro_texts, norm_key, ro_date, header_meta, roman_to_int, relation_normalize, segment_articles, llm_windows, llm_windows_texts, cite_scan, cite_compound, cite_trigger, cite_self_filter,
+    norm_key, ro_date, header_meta, roman_to_int, relation_normalize, segment_articles, cite_scan, cite_compound, cite_trigger, cite_self_filter,
     law_id_synthesize, law_id_resolve, canonicalize, anaphora, parse_response, src_union_schema, merge_best_confidence, kb_dedup, kb_by_entity, kb_by_relation, kb_by_law,
     kb_by_article, kb_modified_by, kb_modifying, kb_emitter, kb_entity_relations, kb_statistics, kb_relation_histogram, kb_triple_sources, kb_triples_with_sources, graph_nodes,
     graph_law_annotation, graph_degrees, graph_density, graph_reciprocity, graph_degree_histogram, graph_sample, graph_components, ax_functional, ax_asymmetric, ax_irreflexive,
     ax_symmetric, ax_domain, ax_transitive_2hop, ax_transitive_count, ax_counts, ax_all, sim_relation_jaccard, sim_relation_cosine, sim_node_jaccard, sim_triple_jaccard,
-    sim_compliance, eda_basic, eda_top_relations, eda_top_entities, val_vocab_coverage, val_per_law, val_method_share, val_spotcheck, law_summary, law_summary_full, knn_topk, pipeline_triples,
+    sim_compliance, eda_basic, eda_top_relations, eda_top_entities, val_vocab_coverage, val_per_law, val_method_share, val_spotcheck, knn_topk, pipeline_triples,
 )
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in _ALL} | {"p5_found": references.p5_found, "p5_report": references.p5_report}
+    return {f.__name__: f for f in (*_ALL, *whole.ALL)} | {"p5_found": references.p5_found, "p5_report": references.p5_report}
 
 
 def _date(col: str) -> str:
@@ -451,14 +415,12 @@ def oracle_sql() -> dict[str, str]:
     known = f"relation IN {_lit(RELATIONS)}"
     laws = f"('{LAW}', 'day_2024-01-06')"
     return {
-        "norm_ro": "SELECT doc_id, 'Previziuni și ținte' || chr(10) || chr(10) || doc_id AS norm FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)monitorul|\\p{M}')",
         "norm_key": "SELECT meta_id, lower(strip_accents(titlu)) AS key FROM law_meta",
         "ro_date": f"SELECT o_orderkey, {_date('o_orderdate')} AS iso FROM orders",
         "header_meta": f"SELECT o_orderkey, 'Ordonanță de urgență' AS tip_act, o_orderkey::VARCHAR AS numar, year(o_orderdate)::VARCHAR AS an, 'privind clientul ' || o_custkey AS titlu, 'GUVERNUL ROMÂNIEI' AS emitent, {_date('o_orderdate')} AS data_act, {_date('o_orderdate')} AS data_publicare, o_custkey::VARCHAR AS monitorul_oficial_nr FROM orders",
         "roman_to_int": "SELECT ['I','II','III','IV','V','VI','VII'][l_linenumber] AS label, l_linenumber::INTEGER AS value, count(*) AS n FROM lineitem GROUP BY l_linenumber",
         "relation_normalize": "SELECT CASE event_type WHEN 'click' THEN 'modifică' WHEN 'view' THEN 'colaborează_cu' WHEN 'purchase' THEN 'emis_de' WHEN 'error' THEN 'abroga' END AS relation, count(*) AS n FROM events GROUP BY 1",
         "segment_articles": f"SELECT 'order_' || l_orderkey AS law_id, l_linenumber::VARCHAR AS article_number, 'Se modifică Legea nr. ' || part || '/' || y AS body FROM ({ACT_LINES_SQL})",
-        "llm_windows": "SELECT doc_id, CASE WHEN length(t) <= 1000 THEN 1 ELSE 1 + CAST(ceil((length(t) - 1000) / 900.0) AS INTEGER) END AS n_windows, CASE WHEN length(t) <= 1000 THEN length(t) ELSE length(t) - 900 * CAST(ceil((length(t) - 1000) / 900.0) AS INTEGER) END::INTEGER AS last_chars FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents WHERE length(text) > 0)",
         "cite_scan": f"SELECT 'order_' || l_orderkey AS law_id, l_linenumber::VARCHAR AS article_number, 'Legea nr. ' || part || '/' || y AS surface, 'modifică' AS relation FROM ({ACT_LINES_SQL})",
         "cite_compound": "SELECT r AS relation, count(*) AS n, count(DISTINCT o_orderkey) AS n_acts FROM orders CROSS JOIN (VALUES ('modifică'), ('completează')) v(r) GROUP BY r",
         "cite_trigger": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'abroga' WHEN 1 THEN 'face_referire_la' ELSE 'aprobă' END AS relation, 'Legea nr. ' || o_custkey || '/1999' AS surface FROM orders",
@@ -509,9 +471,8 @@ def oracle_sql() -> dict[str, str]:
         "val_per_law": "SELECT law_id, count(*) AS n_triples FROM legislative_triples WHERE law_id IS NOT NULL GROUP BY 1",
         "val_method_share": "SELECT coalesce(source_method, 'missing') AS source_method, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM legislative_triples), 9) AS pct FROM legislative_triples GROUP BY 1",
         "val_spotcheck": f"{KG} SELECT law_id, count(*) AS n_triples, count(DISTINCT relation) AS n_relations, count(*) FILTER (relation IN {_lit(CROSS_REFERENCES)}) AS n_cross_references, least(5, count(DISTINCT head || relation || tail || article_number))::INTEGER AS n_sample FROM kg WHERE law_id IN {laws} GROUP BY 1",
-        "law_summary": "SELECT corpus_id, length(law_text)::INTEGER AS n_chars FROM legislative_corpus WHERE NOT regexp_matches(law_text, '[^\\x00-\\x7FăâîșțĂÂÎȘȚ]')",
-        "law_summary_full": "SELECT corpus_id, length(law_text)::INTEGER AS n_chars, substr(regexp_replace(law_text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), 1, 60) AS preview FROM legislative_corpus",
         "knn_topk": "WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0) SELECT q_id, rank::INTEGER AS rank, vec_id FROM (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q::DOUBLE[], embedding::DOUBLE[]), vec_id) AS rank FROM q, embeddings) WHERE rank <= 3",
+        **whole.oracle_sql(),
         "p5_found": references.SQL,
         "p5_report": f"SELECT 'legislative_triples' AS tbl, fld, ym, orphan_kind, count(*) AS n_refs FROM ({references.SQL}) GROUP BY ALL",
     }

@@ -15,7 +15,7 @@ from lexgraph.runtime import table
 def test_summary_of_every_act(spark, data_dir):
     acts = {r.corpus_id: r.law_text for r in table(spark, data_dir, "legislative_corpus").select("corpus_id", "law_text").collect()}
     assert any(t and re.search(r"[^\x00-\x7FăâîșțĂÂÎȘȚ]", t) for t in acts.values())
-    got = {r.corpus_id: (r.n_chars, r.preview) for r in core.queries()["law_summary_full"](spark, data_dir).collect()}
+    got = {r.corpus_id: (r.n_chars, r.preview) for r in core.queries()["law_summary"](spark, data_dir).collect()}
     assert got == {i: (None, None) if t is None else (len(t), re.sub(r"[ \t\n\x0b\f\r]+", " ", t)[:60]) for i, t in acts.items()}
 
 
@@ -63,7 +63,7 @@ def slow_windows(t, size, overlap):
 def test_normalised_texts_of_every_row(spark, data_dir):
     want = {("documents", r.doc_id): slow_normalize(r.text) for r in table(spark, data_dir, "documents").collect()}
     want |= {("legislative_corpus", r.corpus_id): slow_normalize(r.law_text) for r in table(spark, data_dir, "legislative_corpus").collect()}
-    got = {(r.tbl, r.row_id): r.norm for r in core.queries()["norm_ro_texts"](spark, data_dir).collect()}
+    got = {(r.tbl, r.row_id): r.norm for r in core.queries()["norm_ro"](spark, data_dir).collect()}
     assert {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v} == {} and len(got) == len(want)
 
 
@@ -78,6 +78,6 @@ def test_normalised_edges(spark):
 def test_windows_of_every_text(spark, data_dir):
     rows = table(spark, data_dir, "documents").select("doc_id", "text").collect()
     want = sorted((r.doc_id, i, w) for r in rows for i, w in enumerate(slow_windows(r.text, 1000, 100)))
-    got = sorted((r.doc_id, r.window_no, r.window) for r in core.queries()["llm_windows_texts"](spark, data_dir).collect())
+    got = sorted((r.doc_id, r.window_no, r.window) for r in core.queries()["llm_windows"](spark, data_dir).collect())
     assert got == want
     assert any(len(r.text or "") > 1000 and "\n\n" in r.text for r in rows)
