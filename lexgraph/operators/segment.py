@@ -98,6 +98,16 @@ def split_articles(text: str | None, *, inline_body: bool = False) -> list[dict]
     return out
 
 
+def first_laws(laws: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` laws by law_id (a law read twice counts twice); 0 or None is no limit. Only ``n`` rows of a task survive its sort."""
+    return laws.orderBy("law_id", "law_text").limit(n) if n else laws
+
+
+def first_articles(articles: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` articles of each law; 0 or None is no limit."""
+    return articles.where(F.col("pos") <= n) if n else articles
+
+
 ARTICLES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("article_number", "header", "text")]))
 
 

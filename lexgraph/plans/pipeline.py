@@ -22,15 +22,15 @@ def regex_triples(articles: DataFrame, aliases: DataFrame | None) -> DataFrame:
     return cite.tagged(rows)
 
 
-def corpus_triples(laws: DataFrame, meta: DataFrame, llm: DataFrame | None = None) -> DataFrame:
+def corpus_triples(laws: DataFrame, meta: DataFrame, llm: DataFrame | None = None, *, max_laws: int | None = None, max_articles: int | None = None) -> DataFrame:
     """(law_id, law_text) rows to deduplicated, canonical triples, with recorded model triples beside the citations.
 
     Order as in the original pipeline: union, self-references of the text, canonical entities, best
     confidence. Texts are spread over all cores first, since a file of laws has few splits.
     """
     aliases = resolve.alias_dim(meta)
-    texts = spread(laws.select("law_id", normalize_ro(F.col("law_text")).alias("law_text")))
-    articles = segment.split_into_articles(texts)
+    texts = spread(segment.first_laws(laws, max_laws).select("law_id", normalize_ro(F.col("law_text")).alias("law_text")))
+    articles = segment.first_articles(segment.split_into_articles(texts), max_articles)
     triples = regex_triples(articles, aliases)
     if llm is not None:
         triples = store.merge(triples, llm)

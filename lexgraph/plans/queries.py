@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import ASYMMETRIC, CROSS_REFERENCES, FUNCTIONAL, IRREFLEXIVE, MONTHS, RELATIONS, SYMMETRIC, TRANSITIVE
+from ..constants import ASYMMETRIC, CROSS_REFERENCES, FUNCTIONAL, IRREFLEXIVE, MONTHS, RELATIONS, SCORE_WEIGHTS, SYMMETRIC, TAIL_DOMAIN, TRANSITIVE
 from ..functions import text as tx
 from ..operators import axioms, cite, extract, graph, report, resolve, score, segment, store, vector
 from ..runtime import table
-from . import references, whole
+from . import references, storage, whole
 from .pipeline import corpus_triples
 from .views import ACT_LINES_SQL, KG_EVENTS_SQL, KG_LINEITEM_SQL, act_texts, kg_events, kg_lineitem
 
@@ -87,6 +87,17 @@ def cite_compound(spark: SparkSession, d: str) -> DataFrame:
     return cite.cited(o, "t").groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("surface").alias("n_acts"))
 
 
+#: Nine written forms of citations, short ones with and without their dots and blanks; N stands for the number.
+FORMS = ("Legea nr. N/2001", "Legii-cadru nr.N/2001", "Ordonanța de urgență a Guvernului nr. N/2001", "OUG nr. N/2001", "O.U.G.nr. N/2001", "Ordonanței Guvernului nr N/2001", "OG nr. N/2001", "Hotărârii nr. N/2001", "HG nr. N/2001")
+
+
+def cite_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every written form of a citation, of every order."""
+    o = table(spark, d, "orders").select("o_orderkey", F.explode(F.array(*(F.lit(f) for f in FORMS))).alias("form"))
+    text = F.concat(F.lit("Se abrogă "), F.replace("form", F.lit("N"), F.col("o_orderkey").cast("string")), F.lit(", cu avizul comisiei."))
+    return cite.cited(o.select("o_orderkey", text.alias("t")), "t")
+
+
 def cite_trigger(spark: SparkSession, d: str) -> DataFrame:
     """The nearest verb decides, on either side; without one the relation is a plain reference."""
     verbs = F.array(F.lit("Se abrogă "), F.lit("Potrivit "), F.lit("Se aprobă și se respectă "))
@@ -320,6 +331,14 @@ def sim_compliance(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "n_triples", "axiom_violations.total", F.round("axiom_conformance", 9).alias("axiom_conformance"), F.round("compliance_score", 6).alias("compliance_score"))
 
 
+def sim_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with relations outside the vocabulary compared with a store."""
+    docs, onto = _split(spark, d)
+    docs = docs.withColumn("dropped", F.when(F.col("r") % 2 == 0, F.array(F.lit("distruge"))).otherwise(F.array().cast("array<string>")))
+    c = score.compare_documents(docs, onto.select("head", "relation", "tail"))
+    return c.select("doc_id", "n_dropped", "n_triples", *(F.round(x, 9).alias(x) for x in ("relation_jaccard", "relation_distribution_cosine", "node_jaccard", "triple_jaccard", "axiom_conformance")), F.round("compliance_score", 6).alias("compliance_score"), "axiom_violations.*")
+
+
 # ---- reports --------------------------------------------------------------------------------------------------------
 
 
@@ -350,7 +369,7 @@ def val_method_share(spark: SparkSession, d: str) -> DataFrame:
 
 def val_spotcheck(spark: SparkSession, d: str) -> DataFrame:
     s = report.spot_check(kg_events(spark, d), [LAW, "day_2024-01-06"])
-    return s.select("law_id", "n_triples", "n_relations", "n_cross_references", F.size("sample").alias("n_sample"))
+    return s.select("law_id", "n_triples", "n_relations", "n_cross_references", F.size("sample").alias("n_sample"), F.array_join("cross_references", "; ").alias("cross_references"))
 
 
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -366,18 +385,28 @@ def pipeline_triples(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("tail").alias("n_tails"))
 
 
+def pipeline_acts(spark: SparkSession, d: str) -> DataFrame:
+    """Acts composed of line items, one article a line, each citing an act: every triple of the pipeline."""
+    return corpus_triples(act_texts(spark, d), table(spark, d, "law_meta").limit(0))
+
+
+def pipeline_limited(spark: SparkSession, d: str) -> DataFrame:
+    """The first two articles of the first ten such acts."""
+    return corpus_triples(act_texts(spark, d), table(spark, d, "law_meta").limit(0), max_laws=10, max_articles=2).select("law_id", "article_number", "tail")
+
+
 _ALL: tuple[Query, ...] = (
-    norm_key, ro_date, header_meta, roman_to_int, relation_normalize, segment_articles, cite_scan, cite_compound, cite_trigger, cite_self_filter,
+    norm_key, ro_date, header_meta, roman_to_int, relation_normalize, segment_articles, cite_scan, cite_forms, cite_compound, cite_trigger, cite_self_filter,
     law_id_synthesize, law_id_resolve, canonicalize, anaphora, parse_response, src_union_schema, merge_best_confidence, kb_dedup, kb_by_entity, kb_by_relation, kb_by_law,
     kb_by_article, kb_modified_by, kb_modifying, kb_emitter, kb_entity_relations, kb_statistics, kb_relation_histogram, kb_triple_sources, kb_triples_with_sources, graph_nodes,
     graph_law_annotation, graph_degrees, graph_density, graph_reciprocity, graph_degree_histogram, graph_sample, graph_components, ax_functional, ax_asymmetric, ax_irreflexive,
     ax_symmetric, ax_domain, ax_transitive_2hop, ax_transitive_count, ax_counts, ax_all, sim_relation_jaccard, sim_relation_cosine, sim_node_jaccard, sim_triple_jaccard,
-    sim_compliance, eda_basic, eda_top_relations, eda_top_entities, val_vocab_coverage, val_per_law, val_method_share, val_spotcheck, knn_topk, pipeline_triples,
+    sim_compliance, sim_documents, eda_basic, eda_top_relations, eda_top_entities, val_vocab_coverage, val_per_law, val_method_share, val_spotcheck, knn_topk, pipeline_triples, pipeline_acts, pipeline_limited,
 )
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*_ALL, *whole.ALL)} | {"p5_found": references.p5_found, "p5_report": references.p5_report}
+    return {f.__name__: f for f in (*_ALL, *whole.ALL, *storage.ALL)} | {"p5_found": references.p5_found, "p5_report": references.p5_report}
 
 
 def _date(col: str) -> str:
@@ -406,6 +435,24 @@ SELECT ids.doc_id, (SELECT count(*) FROM a JOIN b USING ({cols}) WHERE a.doc_id
        / ((SELECT count(*) FROM a WHERE a.doc_id = ids.doc_id) + (SELECT count(*) FROM b) - (SELECT count(*) FROM a JOIN b USING ({cols}) WHERE a.doc_id = ids.doc_id)) AS {out} FROM ids"""
 
 
+def _compliance_sql(domains) -> str:
+    """Every part of the similarity report of each document."""
+    bad = " OR ".join(f"relation = '{r}' AND tail NOT IN {_lit(v)}" for r, v in domains.items())
+
+    def jaccard(n: str, cols: str, a: str, b: str) -> str:
+        return f"{n}_a AS (SELECT DISTINCT doc_id, {cols} FROM {a}), {n}_b AS (SELECT DISTINCT {cols} FROM {b}), {n}_j AS (SELECT doc_id, count(*) FILTER (hit)::DOUBLE / (count(*) + (SELECT count(*) FROM {n}_b) - count(*) FILTER (hit)) AS {n}_jaccard FROM (SELECT {n}_a.*, h.hit IS NOT NULL AS hit FROM {n}_a LEFT JOIN (SELECT *, true AS hit FROM {n}_b) h USING ({cols})) GROUP BY 1)"
+
+    return f"""{_SPLIT}, {jaccard('relation', 'relation', 'docs', 'onto')}, {jaccard('node', 'node', _ENDS_D, _ENDS_O)}, {jaccard('triple', 'head, relation, tail', 'docs', 'onto')},
+x AS (SELECT doc_id, relation, count(*) AS x FROM docs GROUP BY 1, 2), y AS (SELECT relation, count(*) AS y FROM onto GROUP BY 1),
+cosine AS (SELECT doc_id, sum(x * coalesce(y, 0))::DOUBLE / (sqrt(sum(x * x)) * (SELECT sqrt(sum(y * y)) FROM y)) AS relation_distribution_cosine FROM x LEFT JOIN y USING (relation) GROUP BY 1),
+rws AS (SELECT doc_id, count(*) AS n_triples, count(*) FILTER (relation IN {_lit(IRREFLEXIVE)} AND head = tail) AS irreflexive, count(*) FILTER ({bad}) AS domain, count(*) FILTER (relation NOT IN {_lit(RELATIONS)}) AS vocabulary FROM docs GROUP BY 1),
+fun AS (SELECT doc_id, count(*) AS functional FROM (SELECT doc_id, head, relation FROM docs WHERE relation IN {_lit(FUNCTIONAL)} GROUP BY 1, 2, 3 HAVING count(DISTINCT tail) > 1) GROUP BY 1),
+asy AS (SELECT doc_id, count(*) AS "asymmetric" FROM (SELECT doc_id FROM docs WHERE relation IN {_lit(ASYMMETRIC)} AND head <> tail GROUP BY doc_id, relation, least(head, tail), greatest(head, tail) HAVING bool_or(head < tail) AND bool_or(head > tail)) GROUP BY 1),
+v AS (SELECT doc_id, n_triples, irreflexive, domain, vocabulary, coalesce(functional, 0) AS functional, coalesce("asymmetric", 0) AS "asymmetric", irreflexive + domain + vocabulary + coalesce(functional, 0) + coalesce("asymmetric", 0) AS total FROM rws LEFT JOIN fun USING (doc_id) LEFT JOIN asy USING (doc_id)),
+r AS (SELECT *, greatest(0.0::DOUBLE, 1 - total::DOUBLE / n_triples) AS axiom_conformance FROM v JOIN relation_j USING (doc_id) JOIN node_j USING (doc_id) JOIN triple_j USING (doc_id) JOIN cosine USING (doc_id)),
+report AS (SELECT *, {' + '.join(f'{k} * {w}::DOUBLE' for k, w in SCORE_WEIGHTS.items())} AS compliance_score FROM r)"""
+
+
 _ENDS_D = "(SELECT doc_id, head AS node FROM docs UNION SELECT doc_id, tail FROM docs)"
 _ENDS_O = "(SELECT head AS node FROM onto UNION SELECT tail FROM onto)"
 
@@ -464,15 +511,35 @@ def oracle_sql() -> dict[str, str]:
         "sim_relation_cosine": f"{_SPLIT}, x AS (SELECT doc_id, relation, count(*) AS x FROM docs GROUP BY 1, 2), y AS (SELECT relation, count(*) AS y FROM onto GROUP BY 1) SELECT doc_id, round(sum(x * coalesce(y, 0))::DOUBLE / (sqrt(sum(x * x)) * (SELECT sqrt(sum(y * y)) FROM y)), 9) AS relation_distribution_cosine FROM x LEFT JOIN y USING (relation) GROUP BY 1",
         "sim_node_jaccard": _jaccard_sql("node", _ENDS_D, _ENDS_O, "node_jaccard"),
         "sim_triple_jaccard": _jaccard_sql("relation, tail", "docs", "onto", "triple_jaccard"),
+        "sim_compliance": f"{_compliance_sql(DOMAIN)} SELECT doc_id, n_triples, total, round(axiom_conformance, 9) AS axiom_conformance, round(compliance_score, 6) AS compliance_score FROM report",
+        "sim_documents": f"{_compliance_sql(TAIL_DOMAIN)} SELECT doc_id, CASE WHEN right(doc_id, 1)::INTEGER % 2 = 0 THEN 1 ELSE 0 END AS n_dropped, n_triples, round(relation_jaccard, 9) AS relation_jaccard, round(relation_distribution_cosine, 9) AS relation_distribution_cosine, round(node_jaccard, 9) AS node_jaccard, round(triple_jaccard, 9) AS triple_jaccard, round(axiom_conformance, 9) AS axiom_conformance, round(compliance_score, 6) AS compliance_score, functional, \"asymmetric\", irreflexive, domain, vocabulary, total FROM report",
         "eda_basic": "SELECT count(*) AS n_rows, count(DISTINCT head) AS n_heads, count(DISTINCT tail) AS n_tails, count(DISTINCT relation) AS n_relations, (sum((head IS NULL)::INT + (relation IS NULL)::INT + (tail IS NULL)::INT + (law_id IS NULL)::INT + (article_number IS NULL)::INT + (source_method IS NULL)::INT + (confidence IS NULL)::INT))::BIGINT AS n_null_cells, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END)::BIGINT AS n_redundant, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) * 100.0::DOUBLE / count(*) AS redundancy_pct FROM (SELECT *, count(*) OVER (PARTITION BY head, relation, tail) AS k FROM legislative_triples)",
         "eda_top_relations": "SELECT relation, count(*) AS n FROM legislative_triples WHERE relation IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
         "eda_top_entities": "SELECT head, count(*) AS n FROM legislative_triples WHERE head IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
         "val_vocab_coverage": f"SELECT relation, count(*) AS n, {known} AS in_vocabulary FROM legislative_triples WHERE relation IS NOT NULL GROUP BY 1",
         "val_per_law": "SELECT law_id, count(*) AS n_triples FROM legislative_triples WHERE law_id IS NOT NULL GROUP BY 1",
         "val_method_share": "SELECT coalesce(source_method, 'missing') AS source_method, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM legislative_triples), 9) AS pct FROM legislative_triples GROUP BY 1",
-        "val_spotcheck": f"{KG} SELECT law_id, count(*) AS n_triples, count(DISTINCT relation) AS n_relations, count(*) FILTER (relation IN {_lit(CROSS_REFERENCES)}) AS n_cross_references, least(5, count(DISTINCT head || relation || tail || article_number))::INTEGER AS n_sample FROM kg WHERE law_id IN {laws} GROUP BY 1",
+        "val_spotcheck": f"""{KG}, t AS (SELECT *, relation IN {_lit(CROSS_REFERENCES)} AS x FROM kg WHERE law_id IN {laws}),
+c AS (SELECT law_id, string_agg(head || ' | ' || relation || ' | ' || tail, '; ' ORDER BY n) AS cross_references FROM (SELECT *, row_number() OVER (PARTITION BY law_id ORDER BY article_number, head, relation, tail) AS n FROM t WHERE x) WHERE n <= 10 GROUP BY 1)
+SELECT t.law_id, count(*) AS n_triples, count(DISTINCT relation) AS n_relations, count(*) FILTER (x) AS n_cross_references, least(5, count(DISTINCT head || relation || tail || article_number))::INTEGER AS n_sample, coalesce(any_value(cross_references), '') AS cross_references FROM t LEFT JOIN c ON t.law_id = c.law_id GROUP BY 1""",
+        "cite_forms": f"SELECT o_orderkey, replace(f, 'N', o_orderkey::VARCHAR) AS surface, 'abroga' AS relation FROM orders, (SELECT unnest([{', '.join(chr(39) + x + chr(39) for x in FORMS)}]) AS f)",
+        "ax_all": f"""{KG}, parts AS (
+SELECT 'functional' AS axiom, relation FROM (SELECT head, relation FROM kg WHERE relation IN {_lit(FUNCTIONAL)} GROUP BY 1, 2 HAVING count(DISTINCT tail) > 1)
+UNION ALL SELECT 'asymmetric', relation FROM ({_pairs(ASYMMETRIC, 'true')})
+UNION ALL SELECT 'irreflexive', relation FROM kg WHERE relation IN {_lit(IRREFLEXIVE)} AND head = tail
+UNION ALL SELECT 'symmetric', relation FROM (SELECT DISTINCT head, relation, tail FROM kg k WHERE relation IN {_lit(SYMMETRIC)} AND head <> tail AND NOT EXISTS (SELECT 1 FROM kg r WHERE r.relation = k.relation AND r.head = k.tail AND r.tail = k.head))
+UNION ALL SELECT 'domain', relation FROM kg WHERE {" OR ".join(f"relation = '{r}' AND tail NOT IN {_lit(v)}" for r, v in TAIL_DOMAIN.items())}
+UNION ALL SELECT 'transitive', l.relation FROM kg l JOIN kg r ON l.tail = r.head AND l.relation = r.relation WHERE l.relation IN {_lit(TRANSITIVE)})
+SELECT axiom, relation, count(*) AS n FROM parts GROUP BY 1, 2""",
+        "graph_components": f"""WITH RECURSIVE li AS (SELECT DISTINCT head, tail FROM ({KG_LINEITEM_SQL})), e AS (SELECT head AS a, tail AS b FROM li UNION ALL SELECT tail, head FROM li),
+r AS (SELECT DISTINCT head AS root, head AS id FROM li UNION SELECT r.root, e.b FROM r JOIN e ON r.id = e.a),
+c AS (SELECT root, min(id) AS component FROM r GROUP BY 1)
+SELECT component, count(*) AS n_nodes FROM (SELECT DISTINCT id, component FROM r JOIN c USING (root)) GROUP BY 1""",
+        "pipeline_acts": f"SELECT 'order_' || l_orderkey AS head, 'modifică' AS relation, 'lege_' || part || '_' || y AS tail, 'order_' || l_orderkey AS law_id, l_linenumber::VARCHAR AS article_number, 'regex' AS source_method, 1.0::DOUBLE AS confidence FROM ({ACT_LINES_SQL})",
+        "pipeline_limited": f"WITH a AS ({ACT_LINES_SQL}), first AS (SELECT DISTINCT 'order_' || l_orderkey AS law_id FROM a ORDER BY 1 LIMIT 10) SELECT law_id, l_linenumber::VARCHAR AS article_number, 'lege_' || part || '_' || y AS tail FROM (SELECT *, 'order_' || l_orderkey AS law_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM a) JOIN first USING (law_id) WHERE n <= 2",
         "knn_topk": "WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0) SELECT q_id, rank::INTEGER AS rank, vec_id FROM (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q::DOUBLE[], embedding::DOUBLE[]), vec_id) AS rank FROM q, embeddings) WHERE rank <= 3",
         **whole.oracle_sql(),
+        **storage.oracle_sql(),
         "p5_found": references.SQL,
         "p5_report": f"SELECT 'legislative_triples' AS tbl, fld, ym, orphan_kind, count(*) AS n_refs FROM ({references.SQL}) GROUP BY ALL",
     }

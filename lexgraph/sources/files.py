@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,10 @@ DOCUMENT = T.StructType(
 )
 
 
+#: CSV that keeps every value: blanks at its ends, quotes and line ends inside; an empty text is read back as NULL.
+CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+
+
 def _stem() -> Column:
     """File name without its ending."""
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.meta)?\.[^.]*$", 1)
@@ -49,18 +54,36 @@ def read_meta(spark: SparkSession, directory: str) -> DataFrame:
     return raw.select(_stem().alias("file_stem"), "*").where(F.col(broken).isNull()).drop(broken)
 
 
+def missing_meta(laws: DataFrame, meta: DataFrame, text: str = "law_text", *, overwrite: bool = False) -> DataFrame:
+    """Sidecar rows for the laws (raw texts, header included) that have none in ``meta``; with ``overwrite`` for all of them."""
+    fresh = laws if overwrite else laws.join(meta.select("law_id").where(F.col("law_id").isNotNull()).distinct(), "law_id", "left_anti")
+    derived = derive_meta(fresh, text)
+    known = {"source_url": F.lit("https://legislatie.just.ro"), "in_force": F.lit(True)}  # Fixed values: what a new sidecar states
+    return derived.select(*(known.get(f.name, F.col(f.name) if f.name in derived.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in META))
+
+
+def write_meta(meta: DataFrame, path: str) -> None:
+    """Sidecar rows appended as JSON lines; with ``missing_meta`` the ones that are there stay as they are."""
+    meta.write.mode("append").json(path)
+
+
+def read_meta_store(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_meta`` has written."""
+    return spark.read.schema(META).json(path)
+
+
 def derive_meta(laws: DataFrame, text: str = "law_text") -> DataFrame:
     """Sidecar rows parsed out of the headers of laws that come without one (raw texts, header included)."""
     return laws.select("law_id", header_meta(F.col(text)).alias("m")).select("law_id", "m.*")
 
 
-def read_documents(spark: SparkSession, directory: str, aliases: DataFrame | None = None) -> DataFrame:
-    """Document graphs from JSON files: (doc_id, title, head, relation, tail, article_number, dropped).
+def read_documents(spark: SparkSession, directory: str, aliases: DataFrame | None = None, *, multi_line: bool = True) -> DataFrame:
+    """Document graphs from JSON files, one a file (or one a line): (doc_id, title, head, relation, tail, article_number, dropped).
 
     Statements whose relation is not in the vocabulary are left out and their relations listed in
     ``dropped``; entities are canonical; nothing is deduplicated.
     """
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("pathGlobFilter", "*.json").json(directory)
+    docs = spark.read.schema(DOCUMENT).option("multiLine", multi_line).option("pathGlobFilter", "*.json").json(directory)
     docs = docs.withColumn("title", F.coalesce("title", "doc_id"))
     rows = docs.select("doc_id", "title", F.inline_outer("triples")).withColumn("entry", normalize_relation(F.col("relation")))
     dropped = rows.where(F.col("entry").isNull() & F.col("relation").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set("relation")).alias("dropped"))
@@ -72,16 +95,29 @@ def read_triples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     """A triple store with its fixed schema; columns that the files lack are NULL."""
     if fmt != "csv":
         return conform(spark.read.format(fmt).load(path))
-    head = spark.read.option("header", True).csv(path).columns  # the header line only; no inference of types
+    head = spark.read.options(**CSV).csv(path).columns  # the header line only; no inference of types
     by_name = {f.name: f.dataType for f in TRIPLES}
     schema = T.StructType([T.StructField(c, by_name.get(c, T.StringType())) for c in head])
-    return conform(spark.read.option("header", True).schema(schema).csv(path))
+    return conform(spark.read.options(**CSV).schema(schema).csv(path))
 
 
 def write_triples(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """A triple store, in Parquet clustered by law so that lookups by law read few row groups."""
     w = df.sortWithinPartitions("law_id").write.mode(mode)
-    w.parquet(path) if fmt == "parquet" else w.option("header", True).format(fmt).save(path)
+    w.parquet(path) if fmt == "parquet" else w.options(**CSV).format(fmt).save(path)
+
+
+def write_store(triples: DataFrame, corpus: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """A whole store, triples and corpus (law_id, law_text) beside each other, overwritten."""
+    write_triples(triples, f"{path}/triples", fmt)
+    w = corpus.select("law_id", "law_text").write.mode("overwrite")
+    w.parquet(f"{path}/corpus") if fmt == "parquet" else w.options(**CSV).format(fmt).save(f"{path}/corpus")
+
+
+def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """(law_id, law_text) of a whole store."""
+    r = spark.read.schema("law_id string, law_text string")
+    return r.parquet(f"{path}/corpus") if fmt == "parquet" else r.options(**CSV).format(fmt).load(f"{path}/corpus")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
@@ -97,6 +133,37 @@ def upsert_chunks(new: DataFrame, existing: DataFrame | None, key: str = "chunk_
     return fresh if existing is None else fresh.join(existing.select(key).distinct(), key, "left_anti")
 
 
+def append_chunks(new: DataFrame, path: str, key: str = "chunk_id") -> None:
+    """Adds to a vector store, a folder of Parquet files, the chunks whose key it does not hold; the first vector of a key stays."""
+    held = read_chunks(new.sparkSession, path)
+    upsert_chunks(new, held, key).write.mode("append").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame | None:
+    """The chunks of a vector store, None where it has none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+# The sample law, with a header, articles of both kinds and citations.
+SAMPLE_LAW = (
+    "sample_law_1",
+    "LEGE nr. 10 din 5 martie 2020\nprivind evidența actelor normative\nEMITENT\nPARLAMENTUL ROMÂNIEI\nPublicat în MONITORUL OFICIAL nr. 190 din 9 martie 2020\n\n"
+    "Articolul 1\nPrezenta lege modifică Legea nr. 24/2000 și abrogă Hotărârea Guvernului nr. 1.226/2007.\n\n"
+    "Articolul 2\nMinisterul Justiției este responsabil pentru aplicarea prezentei legi.\n\n"
+    "Articolul 3\nLegea intră în vigoare la 30 de zile de la data publicării.",
+)
+
+
+def sample_law(spark: SparkSession) -> DataFrame:
+    """(law_id, law_text): one fixed law."""
+    return spark.createDataFrame([SAMPLE_LAW], "law_id string, law_text string")
+
+
 def synthetic_laws(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     """(law_id, law_text) of ``n`` invented laws out of four templates."""
     pick = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(4))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import TRIPLE_COLS, TRIPLES
 from ..operators.store import conform
+from ..sources.files import read_chunks
 
 
 def triple_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 100) -> DataFrame:
@@ -17,25 +18,33 @@ def triple_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 10
     return spark.readStream.schema(TRIPLES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+#: Parts of a store, by hash of the law; a batch is compared with those parts only that its laws fall into.
+PARTS = 256
+
+
+def _part(law_id: str = "law_id") -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(law_id), F.lit(""))), F.lit(PARTS)).cast("int")
+
+
 def append_new(store_path: str) -> Callable[[DataFrame, int], None]:
-    """A batch sink that appends the rows a store does not hold yet, NULLs compared as equal; repeated batches add nothing."""
+    """A batch sink that appends the rows a store does not hold yet, NULLs compared as equal; repeated batches add nothing.
+
+    The store is partitioned by a hash of law_id; only the parts of the batch's laws (at most PARTS
+    numbers, read to the driver) are scanned.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = conform(batch).dropDuplicates(TRIPLE_COLS)
-        try:
-            held = conform(spark.read.parquet(store_path))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            held = None
+        new = conform(batch).dropDuplicates(TRIPLE_COLS).withColumn("part", _part())
+        held = read_chunks(spark, store_path)
         if held is not None:
-            on = None
+            held = held.where(F.col("part").isin([r[0] for r in new.select("part").distinct().collect()]))
+            on = F.col("n.part") == F.col("h.part")
             for c in TRIPLE_COLS:
                 same = F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}"))
-                on = same if on is None else on & same
+                on = on & same
             new = new.alias("n").join(held.alias("h"), on, "left_anti")
-        new.write.mode("append").parquet(store_path)
+        new.write.mode("append").partitionBy("part").parquet(store_path)
 
     return write
 

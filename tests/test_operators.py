@@ -282,3 +282,80 @@ def test_spot_check_in_full(spark):
 def test_full_eda(spark):
     r = report.full_eda(triples(spark, ("a", "r", "b"), ("b", "r", "a"), ("a", "q", None)))
     assert {k: v.count() for k, v in r.items()} == {"basic": 1, "density": 1, "reciprocity": 1, "top_relations": 2, "rare_relations": 2, "top_heads": 2, "top_tails": 2, "relations": 2, "degrees": 1, "in_degrees": 1, "out_degrees": 1}
+
+
+def test_sidecars_are_written_once(spark, tmp_path):
+    head = "LEGE nr. 5 din 3 mai 2001\nprivind apele"
+    laws = spark.createDataFrame([("a", head), ("b", None), ("c", "")], "law_id string, law_text string")
+    path = str(tmp_path / "meta")
+    files.write_meta(files.missing_meta(laws.where("law_id = 'a'"), spark.createDataFrame([], files.META)), path)
+    files.write_meta(files.missing_meta(laws, files.read_meta_store(spark, path)), path)
+    got = {r.law_id: (r.tip_act, r.numar, r.an, r.in_force, r.aliases) for r in files.read_meta_store(spark, path).collect()}
+    assert got == {"a": ("Lege", "5", "2001", True, None), "b": (None, None, None, True, None), "c": (None, None, None, True, None)}
+    assert files.missing_meta(laws, files.read_meta_store(spark, path), overwrite=True).count() == 3
+
+
+def test_store_and_reports(spark, tmp_path):
+    from lexgraph.operators import score
+
+    df = triples(spark, (" a ", "emis_de", 'b "c"\nd', "l", "1", "regex", 1.0), ("x", "straină", "y"))
+    corpus = spark.createDataFrame([("l", ' "text",\nrând '), ("m", None)], "law_id string, law_text string")
+    for fmt in ("parquet", "csv"):
+        path = str(tmp_path / fmt)
+        files.write_store(df, corpus, path, fmt)
+        assert {tuple(r) for r in files.read_triples(spark, f"{path}/triples", fmt).collect()} == {tuple(r) for r in df.collect()}
+        assert {tuple(r) for r in files.read_corpus(spark, path, fmt).collect()} == {tuple(r) for r in corpus.collect()}
+    docs = df.select("head", "relation", "tail", F.lit("d").alias("doc_id"), F.array(F.lit("alta")).alias("dropped"))
+    report_ = score.compare_documents(docs, df)
+    files.write_reports(report_, str(tmp_path / "reports"))
+    whole = spark.read.json(str(tmp_path / "reports" / "json")).first()
+    flat = spark.read.option("header", True).csv(str(tmp_path / "reports" / "csv")).first()
+    assert whole.doc_id == "d" and whole.n_dropped == 1 and whole.axiom_violations.domain == 1 and flat.domain == "1" and flat.triple_jaccard == "0.333"
+    with pytest.raises(ValueError, match="empty"):
+        score.compare_documents(docs, df.limit(0))
+
+
+def test_vector_store_appends(spark, tmp_path):
+    path = str(tmp_path / "v")
+    a = spark.createDataFrame([("c1", 1), ("c1", 1), ("c2", 2)], "chunk_id string, x int")
+    files.append_chunks(a, path)
+    files.append_chunks(a.withColumn("x", F.col("x") + 10).unionByName(spark.createDataFrame([("c3", 3)], "chunk_id string, x int")), path)
+    assert {tuple(r) for r in files.read_chunks(spark, path).collect()} == {("c1", 1), ("c2", 2), ("c3", 3)}
+    assert files.read_chunks(spark, str(tmp_path / "none")) is None
+
+
+def test_recorded_responses_and_prompts(spark):
+    w = spark.createDataFrame([(1, "unu"), (2, "doi"), (3, None)], "i int, window string")
+    recorded = spark.createDataFrame([("unu", "[a | emis | b]"), ("unu", "[z | emis | b]"), ("alt", "x")], "t string, response string").select(extract.window_hash(F.col("t")).alias("window_hash"), "response")
+    got = {r.i: r.response for r in extract.respond(w, "window", responses=recorded).collect()}
+    assert got == {1: "[a | emis | b]", 2: None, 3: None}
+    with pytest.raises(ValueError, match="recorded"):
+        extract.respond(w, "window")
+    p = extract.prompt("TEXT", {"emis_de": "organul emitent"})
+    assert "- emis_de: organul emitent\n" in p and "- abroga\n" in p and p.count("\n- ") == 16 and "TEXT" in p
+
+
+def test_limits_of_laws_and_articles(spark, meta):
+    text = "Articolul 1\nSe modifică Legea nr. {0}1/2003.\nArticolul 2\nSe modifică Legea nr. {0}2/2003."
+    laws = spark.createDataFrame([(f"lege_{i}_2020", text.format(i)) for i in (3, 1, 2)], "law_id string, law_text string")
+    assert {r.tail for r in corpus_triples(laws, meta, max_laws=2, max_articles=1).collect()} == {"lege_11_2003", "lege_21_2003"}
+    assert corpus_triples(laws, meta, max_laws=0).count() == 6
+
+
+def test_register(spark):
+    rows = [("a", 1, 1), ("a", 2, 3), ("b", None, 2), (None, 9, 9)]
+    m = spark.createDataFrame(rows, "law_id string, registered_at int, meta_id int")
+    assert {r.law_id for r in resolve.known_law_ids(m).collect()} == {"a", "b"}
+    assert [tuple(r) for r in resolve.get_meta(m, "a").collect()] == [("a", 2, 3)] and resolve.get_meta(m, "q").count() == 0
+
+
+def test_late_arrivals(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(datetime(2024, 1, 1, h), datetime(2024, 1, 1, h + 2)) for h in range(3)]
+    spark.createDataFrame(rows, "extracted_at timestamp, loaded_at timestamp").write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("extracted_at timestamp, loaded_at timestamp").parquet(str(tmp_path / "in"))
+    q = ingest.late_arrivals(s, "extracted_at", "loaded_at").writeStream.format("memory").queryName("late").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [(r.n, r.mean_hours_late) for r in spark.table("late").collect()] == [(3, 2.0)]
+    assert files.sample_law(spark).count() == 1
