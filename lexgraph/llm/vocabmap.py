@@ -42,6 +42,18 @@ RELATION_ALIASES: dict[str, tuple[str, ...]] = {
 _WORDS = re.compile(r"[a-z0-9]+")
 _PARENS = re.compile(r"\([^()]*\)")
 _CONNECTIVES = frozenset("a al ale de din in la pe pentru pt si".split())
+# Words beside which a relation's own word stands in other forms (folded), and Romanian endings, longest first.
+_LIGHT = _CONNECTIVES | frozenset("se este sunt e are au cu prin catre asupra unui unei o un face aduce".split())
+_ENDINGS = ("eaza", "area", "erea", "irea", "abila", "abil", "are", "ere", "ire", "ari", "eri", "ata", "ate", "ati", "ita", "ite", "uta", "ute", "ului", "ilor", "elor", "at", "it", "ut", "ul", "ea", "ei", "ii", "le", "a", "e", "i", "u")
+
+
+def stems(words: list[str]) -> tuple[str, ...]:
+    """The words of a value without light ones and endings, sorted; a stem keeps four letters or more."""
+    out = set()
+    for w in words:
+        if w not in _LIGHT:
+            out.add(next((w[: -len(x)] for x in _ENDINGS if w.endswith(x) and len(w) - len(x) >= 4), w))
+    return tuple(sorted(out))
 
 
 def keyed(text: str) -> list[str]:
@@ -119,15 +131,17 @@ class EntryIndex:
         self.exact: dict[str, tuple[int, str]] = {}
         self.short: dict[str, str] = {"".join(keyed(a)): e for a, e in sorted(self.acronyms.items(), reverse=True)}
         self.tree = BKTree()
-        self.words: set[str] = set()
         # form -> words, and the forms with each word, to which abbreviated values are matched
         self.by_word: dict[str, set[str]] = {}
         self.by_size: dict[int, set[str]] = {}
         for e in sorted(self.entries):
             words = keyed(e)
-            self.words.update(words)
             for form in self._forms(words):
                 self._put(form, 0, e)
+        by_stems: dict[tuple[str, ...], set[str]] = {}
+        for e in self.entries:
+            by_stems.setdefault(stems(keyed(e)), set()).add(e)
+        self.by_stems = {k: next(iter(v)) for k, v in by_stems.items() if k and len(v) == 1}
         for e in sorted(self.aliases):
             for a in self.aliases[e]:
                 words = keyed(a)
@@ -174,12 +188,12 @@ class EntryIndex:
         bare = [x for x in words if x not in _CONNECTIVES]
         return [" ".join(w) for w in (words, turned, bare, [x for x in turned if x not in _CONNECTIVES], sorted(bare))]
 
-    def _spelled(self, short: str) -> list[str]:
-        """Every word that an abbreviation may stand for: those it begins, else those with its letters in their order."""
+    def _spelled(self, short: str, loose: bool) -> list[str]:
+        """Every word that an abbreviation may stand for: those it begins, and if ``loose`` those with its letters in their order."""
         same = self.by_letter.get(short[:1], [])
-        return [x for x in same if x.startswith(short)] or [x for x in same if len(short) > 2 and _shortens(short, x)]
+        return [x for x in same if x.startswith(short) or loose and len(short) > 2 and _shortens(short, x)]
 
-    def _written_out(self, marked: list[tuple[str, bool]]) -> tuple[list[str], list[str]]:
+    def _written_out(self, marked: list[tuple[str, bool]], loose: bool) -> tuple[list[str], list[str]]:
         """The readings of a value whose words marked True are abbreviations: in its own order, and in any order, sorted.
 
         The list's forms are narrowed by the value's words and by all words that its abbreviations
@@ -189,7 +203,7 @@ class EntryIndex:
         options: list[set[str] | None] = []
         forms: set[str] | None = None
         for w, short in marked:
-            o = set(self._spelled(w)) if short else {w} & self.by_word.keys()
+            o = set(self._spelled(w, loose)) if short else {w} & self.by_word.keys()
             options.append(o or None)
             if o and w not in _CONNECTIVES:
                 with_word = set().union(*(self.by_word[x] for x in o))
@@ -206,42 +220,41 @@ class EntryIndex:
                 sorted_.append(" ".join(sorted(r)))
         return ordered, sorted_
 
-    def _readings(self, value: str) -> tuple[list[str], list[str], list[str]]:
-        """What a value may read as: without a bracketed remark and connectives; with abbreviations written out; so in any order."""
-        plain: list[str] = []
-        ordered: list[str] = []
-        sorted_: list[str] = []
-        unbracketed = _PARENS.sub(" ", value)
-        for text in dict.fromkeys((value, unbracketed)):
+    def _readings(self, value: str) -> list[list[str]]:
+        """What a value may read as: as it stands, without a bracketed remark and connectives; then with
+        abbreviations written out by words they begin, in its order and in any; then so by words with their letters."""
+        stages: list[list[str]] = [[] for _ in range(5)]
+        for text in dict.fromkeys((value, _PARENS.sub(" ", value))):
             raw = re.findall(r"[a-z0-9]+\.?", fold_text(text))
-            marked = [(w.rstrip("."), w.endswith(".") and w.rstrip(".") not in self.words) for w in raw]
+            marked = [(w.rstrip("."), w.endswith(".")) for w in raw]
             words = [w for w, _ in marked]
             bare = [w for w in words if w not in _CONNECTIVES]
-            plain += [" ".join(words), " ".join(bare), " ".join(sorted(bare))]
+            stages[0] += [" ".join(words), " ".join(bare), " ".join(sorted(bare))]
             if any(short for _, short in marked):
-                a, b = self._written_out(marked)
-                ordered += a
-                sorted_ += b
-        return tuple([r for r in dict.fromkeys(x) if r] for x in (plain, ordered, sorted_))
-
-    def nearest(self, value: str) -> tuple[int, int, str] | None:
-        """(distance, rank, entry) of the entry meant, or None; nearest first, then an entry before an alias, then by code points."""
-        plain, ordered, sorted_ = self._readings(value)
-        hits = [self.exact[r] for r in plain if r in self.exact]
-        if hits:
-            return (0, *min(hits))
-        letters = "".join(keyed(value))
-        bare = "".join(keyed(_PARENS.sub(" ", value)))
-        for s in (letters, bare):
-            if s in self.short:
-                return (0, 0, self.short[s])
-        # an abbreviated value in the order of an entry's words goes before one in any order
-        for readings in (ordered, sorted_):
+                for n, loose in ((1, False), (3, True)):
+                    for m, found in enumerate(self._written_out(marked, loose)):
+                        stages[n + m] += found
+        return [[r for r in dict.fromkeys(x) if r] for x in stages]
+
+    def nearest(self, value: str) -> tuple[int, int, int, str] | None:
+        """(stage, distance, rank, entry) of the entry meant, or None: the smallest counts.
+
+        Stages: 0 a reading as it stands, 1 an acronym, 2 to 5 abbreviations written out, 6 readings within the
+        edit radius, nearest first, 7 the same stems. Rank 1 is another name, behind an entry itself; then by code
+        points. Every stage looks at the index's own words only, so that the smallest answer of several
+        parts of a list is that of the whole list.
+        """
+        stages = self._readings(value)
+        for n, readings in enumerate(stages):
             hits = [self.exact[r] for r in readings if r in self.exact]
             if hits:
-                return (0, *min(hits))
-        best: tuple[int, int, str] | None = None
-        for r in dict.fromkeys((*plain, *ordered, *sorted_)):
+                return (n + (n > 0), 0, *min(hits))
+            if not n:
+                for text in (value, _PARENS.sub(" ", value)):
+                    if (letters := "".join(keyed(text))) in self.short:
+                        return (1, 0, 0, self.short[letters])
+        best: tuple[int, int, int, str] | None = None
+        for r in dict.fromkeys(r for x in stages for r in x):
             if not self._hopeful(r):
                 continue
             for d, key in self.tree.within(r, radius(len(r))):
@@ -249,14 +262,16 @@ class EntryIndex:
                 # another name must be closer than an entry itself, and is never bent by more than one edit
                 if rank and (d > 1 or len(key) < 8):
                     continue
-                if best is None or (d, rank, entry) < best:
-                    best = (d, rank, entry)
+                if best is None or (6, d, rank, entry) < best:
+                    best = (6, d, rank, entry)
+        if best is None and (same := self.by_stems.get(stems(keyed(value)))):
+            best = (7, 0, 0, same)
         return best
 
     def lookup(self, value: str) -> str | None:
         """The entry meant, or None."""
         best = self.nearest(value)
-        return best[2] if best else None
+        return best[3] if best else None
 
 
 def _in_order(marked: list[tuple[str, bool]], options: list[set[str] | None], words: list[str]) -> list[str] | None:
@@ -320,109 +335,98 @@ def shared_lookup(spec: tuple, value: str) -> str | None:
     return memo[value]
 
 
-def map_udf(entries: Sequence[str], acronyms: dict[str, str] | None = None, aliases: dict[str, Sequence[str]] | None = None):
-    """Pandas UDF value -> entry or 'unmatched'; NULL stays NULL."""
-    spec = (tuple(sorted(entries)), tuple(sorted((acronyms or {}).items())), tuple((k, tuple(v)) for k, v in sorted((aliases or {}).items()) if k in set(entries)))
-    if len(spec[0]) > MAX_BROADCAST_ENTRIES:
-        raise ValueError(f"{len(spec[0])} entries; use map_sharded above {MAX_BROADCAST_ENTRIES}")
+@dataclass
+class Listing:
+    """A reference list: rows (entry, acronym), and other names of entries."""
 
-    @F.pandas_udf(T.StringType())
-    def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda v: None if v is None else (shared_lookup(spec, v) or UNMATCHED))
+    rows: DataFrame
+    aliases: dict[str, Sequence[str]] = field(default_factory=dict)
 
-    return mapped
+    def spec(self, rows: Sequence) -> tuple:
+        """Entries, acronyms and other names as plain values, to build an index from; an acronym of several entries means the smallest."""
+        entries = sorted({r[0] for r in rows})
+        acronyms = {r[1]: r[0] for r in sorted(rows, key=lambda r: (r[1] or "", r[0]), reverse=True) if r[1]}
+        return tuple(entries), tuple(sorted(acronyms.items())), tuple((k, tuple(v)) for k, v in sorted(self.aliases.items()) if k in set(entries))
 
 
-def with_target(value: Column, entries: Sequence[str], udf) -> Column:
-    """The entry meant by a value: itself where it is an entry (decided in the JVM), else by the tree. NULL stays NULL."""
-    listed = value.isin(list(entries))
-    return F.when(value.isNull(), None).when(listed, value).otherwise(udf(F.when(~listed, value)))
+def relations(vocab: DataFrame) -> Listing:
+    """The relation vocabulary with its other names."""
+    return Listing(vocab.select(F.col("relation").alias("entry"), F.lit(None).cast("string").alias("acronym")), RELATION_ALIASES)
 
 
-def map_sharded(values: DataFrame, col: str, entries: DataFrame, entry_col: str, *, shards: int = 16, spread: int = 8) -> DataFrame:
-    """Adds ``target`` for a reference list too long to broadcast.
+def bodies(issuers: DataFrame) -> Listing:
+    """The issuing bodies with their acronyms."""
+    return Listing(issuers.select(F.col("name").alias("entry"), "acronym"))
 
-    Distinct values are sent to every shard of the list, ``spread`` buckets each; a shard's tree
-    returns its winner with the distance, and the nearest winner (then the smaller entry) is kept.
-    A shard of the list is held by one task and must fit it: choose ``shards`` accordingly.
-    NULL values keep a NULL target; every other value has an entry or 'unmatched'.
-    """
-    v, e = F.col("__v"), F.col("__e")
-    vals = values.select(F.col(col).alias("__v")).where(v.isNotNull()).distinct()
-    left = vals.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("__b", F.pmod(F.xxhash64("__v"), F.lit(spread)))
-    right = (
-        entries.select(F.col(entry_col).alias("__e"))
-        .where(e.isNotNull())
-        .distinct()
-        .withColumn("__s", F.pmod(F.xxhash64("__e"), F.lit(shards)).cast("int"))
-        .withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
-    )
 
-    def winners(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"__v": pd.Series(dtype=object), "__d": pd.Series(dtype="int32"), "__e": pd.Series(dtype=object)})
-        index = EntryIndex(list(b["__e"]))
-        rows = []
-        for x in a["__v"]:
-            entry = index.lookup(x)
-            if entry is not None:
-                rows.append((x, damerau(" ".join(keyed(x)), " ".join(keyed(entry))), entry))
-        return pd.DataFrame(rows, columns=["__v", "__d", "__e"])
-
-    won = left.groupBy("__s", "__b").cogroup(right.groupBy("__s", "__b")).applyInPandas(winners, "__v string, __d int, __e string")
-    best = won.groupBy("__v").agg(F.min(F.struct("__d", "__e")).alias("__w")).select("__v", F.col("__w.__e").alias("__t"))
-    target = unclash(values, "target")[0]
-    joined = values.join(best, F.col(col) == F.col("__v"), "left")
-    return joined.withColumn(target, F.when(F.col(col).isNull(), None).otherwise(F.coalesce("__t", F.lit(UNMATCHED)))).drop("__v", "__t")
-
-
-def closed_list(df: DataFrame, *cols: str, most: int = MAX_BROADCAST_ENTRIES) -> list:
-    """The rows of a closed list, after a check that there are no more than ``most``."""
-    rows = df.select(*cols).where(F.col(cols[0]).isNotNull()).distinct().limit(most + 1).collect()
+def with_mapped(df: DataFrame, value: Column, listing: Listing, out: str, *, most: int = MAX_BROADCAST_ENTRIES) -> DataFrame:
+    """Adds ``out``: the entry meant by a value, 'unmatched' where there is none, NULL for NULL.
+
+    A list of up to ``most`` entries travels with the function, and a value that is itself an entry
+    is decided in the JVM; a longer list goes through ``map_sharded``. Both give the same entries.
+    """
+    rows = listing.rows.where(F.col("entry").isNotNull()).distinct().limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} entries; use map_sharded")
-    return rows
+        return map_sharded(df, value, listing, out, most=most)
+    spec = listing.spec(rows)
+
+    @F.pandas_udf(T.StringType())
+    def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda v: None if v is None else (shared_lookup(spec, v) or UNMATCHED))
+
+    listed = value.isin(list(spec[0]))
+    return df.withColumn(out, F.when(value.isNull(), None).when(listed, value).otherwise(mapped(F.when(~listed, value))))
+
 
+def map_sharded(df: DataFrame, value: Column, listing: Listing, out: str, *, most: int = MAX_BROADCAST_ENTRIES, per_task: int = 50_000) -> DataFrame:
+    """``with_mapped`` for a reference list too long to broadcast.
 
-def relation_udf(vocab: DataFrame):
-    """(entries, UDF) for the relation vocabulary."""
-    entries = sorted(r[0] for r in closed_list(vocab, "relation"))
-    return entries, map_udf(entries, None, RELATION_ALIASES)
+    The list falls into shards of about ``most`` entries by their hash, each with its acronyms and
+    other names; the distinct values go to every shard, in buckets of about ``per_task`` (both counted
+    first). A shard's index returns its best (stage, distance, rank, entry), and the smallest of
+    all shards counts.
+    """
+    v = unclash(df, "_v")[0]
+    entries = listing.rows.where(F.col("entry").isNotNull()).distinct()
+    vals = df.select(value.alias("v")).where(F.col("v").isNotNull()).distinct()
+    shards = -(-entries.count() // most) or 1
+    buckets = -(-vals.count() // per_task) or 1
+    left = vals.select("v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int").alias("b"))
+    right = entries.select("entry", "acronym", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("b"))
+    aliases = listing.aliases
 
+    def winners(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names, acronyms, others = Listing(None, aliases).spec([(r.entry, r.acronym) for r in b.itertuples()])
+        index = EntryIndex(names, dict(acronyms), {k: list(x) for k, x in others})
+        return pd.DataFrame([(x, *found) for x in a["v"] if (found := index.nearest(x))], columns=["v", "stage", "d", "rank", "entry"])
 
-def issuer_udf(issuers: DataFrame):
-    """(entries, UDF) for the issuing bodies, acronyms included."""
-    rows = closed_list(issuers, "name", "acronym")
-    entries = sorted({r[0] for r in rows})
-    return entries, map_udf(entries, {r[1]: r[0] for r in sorted(rows, key=str) if r[1]})
+    won = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(winners, "v string, stage int, d int, rank int, entry string")
+    best = won.groupBy("v").agg(F.min(F.struct("stage", "d", "rank", "entry")).alias("w")).select(F.col("v").alias(v), F.col("w.entry").alias("_t"))
+    joined = df.withColumn(f"{v}x", value).join(best, F.col(f"{v}x") == F.col(v), "left")
+    return joined.withColumn(out, F.when(F.col(f"{v}x").isNull(), None).otherwise(F.coalesce("_t", F.lit(UNMATCHED)))).drop(v, f"{v}x", "_t")
 
 
 def map_relations(triples: DataFrame, vocab: DataFrame, out: str = "relation_entry") -> DataFrame:
     """Adds the vocabulary entry of each relation, 'unmatched', or NULL for NULL."""
-    entries, udf = relation_udf(vocab)
-    return triples.withColumn(out, with_target(F.col("relation"), entries, udf))
+    return with_mapped(triples, F.col("relation"), relations(vocab), out)
 
 
-def find_mapped(triples: DataFrame, law_meta: DataFrame, vocab: DataFrame, issuers: DataFrame) -> DataFrame:
-    """(tbl, row_id, fld, target) of each non-null value that is not itself an entry of its list."""
-    r_entries, r_udf = relation_udf(vocab)
-    i_entries, i_udf = issuer_udf(issuers)
-    rel = triples.select("triple_id", "relation", "tail").withColumn("r", with_target(F.col("relation"), r_entries, r_udf))
-    tail = F.when(F.col("r") == "emis_de", F.col("tail"))
+def find_mapped(triples: DataFrame, law_meta: DataFrame, vocab: DataFrame, issuers: DataFrame, *, most: int = MAX_BROADCAST_ENTRIES) -> DataFrame:
+    """(tbl, row_id, fld, target) of each non-null value that is not itself an entry of its list; lists of more than ``most`` entries are sharded."""
+    rel = with_mapped(triples.select("triple_id", "relation", "tail"), F.col("relation"), relations(vocab), "r", most=most)
+    rel = rel.withColumn("t", F.when(F.col("r") == "emis_de", F.col("tail")))
     # one pass over the triples gives both fields
-    both = rel.withColumn("i", with_target(tail, i_entries, i_udf)).select(
+    both = with_mapped(rel, F.col("t"), bodies(issuers), "i", most=most).select(
         F.col("triple_id").alias("row_id"),
         F.explode(
             F.array(
                 F.struct(F.lit("relation").alias("fld"), F.col("relation").alias("value"), F.col("r").alias("target")),
-                F.struct(F.lit("tail").alias("fld"), tail.alias("value"), F.col("i").alias("target")),
+                F.struct(F.lit("tail").alias("fld"), F.col("t").alias("value"), F.col("i").alias("target")),
             )
         ).alias("x"),
     )
     from_triples = both.where(F.col("x.value").isNotNull() & (F.col("x.value") != F.col("x.target"))).select(F.lit("legislative_triples").alias("tbl"), "row_id", "x.fld", "x.target")
-    em = F.col("emitent")
-    from_meta = law_meta.where(em.isNotNull() & ~em.isin(i_entries)).select(
-        F.lit("law_meta").alias("tbl"), F.col("meta_id").alias("row_id"), F.lit("emitent").alias("fld"), i_udf(em).alias("target")
-    )
+    em = with_mapped(law_meta.select("meta_id", "emitent").where(F.col("emitent").isNotNull()), F.col("emitent"), bodies(issuers), "target", most=most)
+    from_meta = em.where(F.col("emitent") != F.col("target")).select(F.lit("law_meta").alias("tbl"), F.col("meta_id").alias("row_id"), F.lit("emitent").alias("fld"), "target")
     return from_triples.unionByName(from_meta)
