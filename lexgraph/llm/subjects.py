@@ -262,14 +262,17 @@ class Counts:
         # every class weighs alike in the background, however common it is
         ml = un / np.maximum(total, 1.0)
         back = np.maximum(ml[:, active].mean(axis=1, keepdims=True), 1e-12) if active.any() else np.full((len(un), 1), 1.0)
-        p1 = (un + PRIOR_UNIGRAM * back) / (total + PRIOR_UNIGRAM)
+        # and has the same size, else a class of few words would lose least by words it does not know
+        size = float(np.exp(np.log(total[active]).mean())) if active.any() else 1.0
+        p1 = (ml * size + PRIOR_UNIGRAM * back) / (size + PRIOR_UNIGRAM)
         trust1, trust2 = _trust(un, total)[:, None], _trust(bn, total)[:, None]
         uni_ratio = np.log(p1[:, :k] / back) * trust1
         share = ml[first][:, active]
-        context = un[first]
-        p2 = (bn + PRIOR_BIGRAM * p1[last]) / (context + PRIOR_BIGRAM)
+        context = ml[first] * size
+        in_class = bn / np.maximum(total, 1.0) * size
+        p2 = (in_class + PRIOR_BIGRAM * p1[last]) / (context + PRIOR_BIGRAM)
         # the background's bigram: the classes' own, weighted by how likely each is in that context
-        seen = np.divide(bn, context, out=np.zeros_like(bn), where=context > 0)[:, active]
+        seen = np.divide(in_class, context, out=np.zeros_like(bn), where=context > 0)[:, active]
         mixed = (share * seen).sum(axis=1, keepdims=True) / np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
         n_back = context.sum(axis=1, keepdims=True)
         q2 = (n_back * mixed + PRIOR_BIGRAM * back[last]) / (n_back + PRIOR_BIGRAM)
