@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries whose vectors may be broadcast at once.
+#: Queries whose vectors travel to the blocks of the base at once; more are asked in turns.
 MAX_QUERIES = 10_000
 
 
@@ -43,14 +44,19 @@ def hashing_embedding(texts: list[str], dim: int = 256) -> list[list[float]]:
 def nearest(base: DataFrame, base_id: str, vec: str, queries: DataFrame, query_id: str, query_vec: str, k: int = 3) -> DataFrame:
     """(query_id, rank, id, distance): the ``k`` nearest rows of each query by squared distance, ties by id.
 
-    The stated queries (checked to be at most MAX_QUERIES) go to every block of the base; each
-    block keeps its own best ``k`` of every query, so what is shuffled does not grow with the
-    vectors but with blocks times queries times k. Rows with a NULL or differently long vector
-    have no distance and are left out.
+    The stated queries go to every block of the base; each block keeps its own best ``k`` of every
+    query, so what is shuffled does not grow with the vectors but with blocks times queries times
+    k. More than about MAX_QUERIES queries are asked in turns by a hash of their id, each a scan of the base. Rows with a NULL
+    or differently long vector have no distance and are left out.
     """
-    rows = queries.select(query_id, query_vec).where(F.col(query_vec).isNotNull()).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; ask in parts")
+    asked = queries.select(query_id, query_vec).where(F.col(query_vec).isNotNull())
+    turns = -(-asked.count() // MAX_QUERIES) or 1
+    parts = [asked.where(F.pmod(F.xxhash64(query_id), F.lit(turns)) == n) for n in range(turns)]
+    return reduce(DataFrame.unionByName, (_nearest(base, base_id, vec, p, query_id, query_vec, k) for p in parts))
+
+
+def _nearest(base: DataFrame, base_id: str, vec: str, queries: DataFrame, query_id: str, query_vec: str, k: int) -> DataFrame:
+    rows = queries.collect()
     ids = [r[0] for r in rows]
     q = np.array([r[1] for r in rows], dtype=np.float64)
     qt, bt = dict(queries.dtypes)[query_id], dict(base.dtypes)[base_id]

@@ -153,6 +153,15 @@ def test_score_of_identical_sets(spark):
     assert r.triple_jaccard == 0.0 and r.relation_distribution_cosine == 0.0
 
 
+def test_nearest_in_turns(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id int, v array<double>")
+    q = df.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    whole = {tuple(r) for r in vector.nearest(df, "id", "v", q, "qid", "qv", 2).collect()}
+    monkeypatch.setattr(vector, "MAX_QUERIES", 2)
+    assert {tuple(r) for r in vector.nearest(df, "id", "v", q, "qid", "qv", 2).collect()} == whole and len(whole) == 18
+    assert vector.nearest(df, "id", "v", q.limit(0), "qid", "qv", 2).count() == 0
+
+
 def test_nearest_matches_brute_force(spark):
     rnd = random.Random(1)
     v = [(i, [rnd.random() for _ in range(4)]) for i in range(50)] + [(50, None), (51, [0.5])]
