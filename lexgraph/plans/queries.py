@@ -75,6 +75,23 @@ def segment_articles(spark: SparkSession, d: str) -> DataFrame:
     return a.select("law_id", "article_number", F.col("text").alias("body"))
 
 
+#: Shapes of acts: headers in one line each, bodies b1, b2, …; N stands for the act's number.
+SHAPES = (
+    ("Art. I\nb1 N\nArt. 5\nb2\nArt. II\nb3\nART. III\nb4", (("I", "b1 N\nArt. 5\nb2"), ("II", "b3"), ("III", "b4"))),
+    ("Art. 1\nb1 N\nArt. 2\nb2\nArt. 14^2\nb3\nArt. 3\nb4\nArt. 3^1\nb5\nArt. 4\nb6", (("1", "b1 N"), ("2", "b2\nArt. 14^2\nb3"), ("3", "b4\nArt. 3^1\nb5"), ("4", "b6"))),
+    ("Un preambul care are mai mult de patruzeci de caractere, N.\nArticol unic\nb1\nArt. 7\nb2", (("preambul", "Un preambul care are mai mult de patruzeci de caractere, N."), ("unic", "b1\nArt. 7\nb2"))),
+    ("Un text N fără articole.", (("full", "Un text N fără articole."),)),
+    ("Scurt.\nArt. IV - N\nArt. 12\n\nArticolul 13\nb1", (("13", "b1"),)),
+)
+
+
+def segment_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Acts of every shape: the prevailing numerals, the longest rising run of headers, the single article, the preamble, empty bodies."""
+    shapes = F.array(*(F.lit(t) for t, _ in SHAPES))
+    o = table(spark, d, "orders").select("o_orderkey", F.replace(F.get(shapes, F.pmod("o_orderkey", F.lit(len(SHAPES))).cast("int")), F.lit("N"), F.col("o_orderkey").cast("string")).alias("law_text"))
+    return segment.split_into_articles(o).select("o_orderkey", "article_number", F.col("text").alias("body"))
+
+
 def cite_scan(spark: SparkSession, d: str) -> DataFrame:
     a = segment.split_into_articles(act_texts(spark, d))
     c = cite.cited(a.select("law_id", "article_number", "text"), "text")
@@ -396,7 +413,7 @@ def pipeline_limited(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL: tuple[Query, ...] = (
-    norm_key, ro_date, header_meta, roman_to_int, relation_normalize, segment_articles, cite_scan, cite_forms, cite_compound, cite_trigger, cite_self_filter,
+    norm_key, ro_date, header_meta, roman_to_int, relation_normalize, segment_articles, segment_shapes, cite_scan, cite_forms, cite_compound, cite_trigger, cite_self_filter,
     law_id_synthesize, law_id_resolve, canonicalize, anaphora, parse_response, src_union_schema, merge_best_confidence, kb_dedup, kb_by_entity, kb_by_relation, kb_by_law,
     kb_by_article, kb_modified_by, kb_modifying, kb_emitter, kb_entity_relations, kb_statistics, kb_relation_histogram, kb_triple_sources, kb_triples_with_sources, graph_nodes,
     graph_law_annotation, graph_degrees, graph_density, graph_reciprocity, graph_degree_histogram, graph_sample, graph_components, ax_functional, ax_asymmetric, ax_irreflexive,
@@ -522,6 +539,9 @@ def oracle_sql() -> dict[str, str]:
         "val_spotcheck": f"""{KG}, t AS (SELECT *, relation IN {_lit(CROSS_REFERENCES)} AS x FROM kg WHERE law_id IN {laws}),
 c AS (SELECT law_id, string_agg(head || ' | ' || relation || ' | ' || tail, '; ' ORDER BY n) AS cross_references FROM (SELECT *, row_number() OVER (PARTITION BY law_id ORDER BY article_number, head, relation, tail) AS n FROM t WHERE x) WHERE n <= 10 GROUP BY 1)
 SELECT t.law_id, count(*) AS n_triples, count(DISTINCT relation) AS n_relations, count(*) FILTER (x) AS n_cross_references, least(5, count(DISTINCT head || relation || tail || article_number))::INTEGER AS n_sample, coalesce(any_value(cross_references), '') AS cross_references FROM t LEFT JOIN c ON t.law_id = c.law_id GROUP BY 1""",
+        "segment_shapes": "SELECT o_orderkey, article_number, replace(body, 'N', o_orderkey::VARCHAR) AS body FROM orders JOIN (VALUES "
+        + ", ".join(f"({n}, '{a}', '{b}')" for n, (_, parts) in enumerate(SHAPES) for a, b in parts)
+        + f") v(shape, article_number, body) ON o_orderkey % {len(SHAPES)} = shape",
         "cite_forms": f"SELECT o_orderkey, replace(f, 'N', o_orderkey::VARCHAR) AS surface, 'abroga' AS relation FROM orders, (SELECT unnest([{', '.join(chr(39) + x + chr(39) for x in FORMS)}]) AS f)",
         "ax_all": f"""{KG}, parts AS (
 SELECT 'functional' AS axiom, relation FROM (SELECT head, relation FROM kg WHERE relation IN {_lit(FUNCTIONAL)} GROUP BY 1, 2 HAVING count(DISTINCT tail) > 1)

@@ -81,3 +81,46 @@ def test_windows_of_every_text(spark, data_dir):
     got = sorted((r.doc_id, r.window_no, r.window) for r in core.queries()["llm_windows"](spark, data_dir).collect())
     assert got == want
     assert any(len(r.text or "") > 1000 and "\n\n" in r.text for r in rows)
+
+
+def slow_articles(t):
+    """Articles by definition: the first longest strictly rising run of the prevailing headers, found by the quadratic recurrence."""
+    if t is None or not t.strip():
+        return []
+    head = re.compile(r"^[ \t]*(?:(?:art|articolul)\.?[ \t]+(\d+(?:\^\d+)?|[ivxlcdm]+)\b|articol[ \t]+(unic)\b)[^\n]*$", re.I | re.M)
+    met = [(m.start(), m.end(), m[1] or "unic") for m in head.finditer(t)]
+    if not met:
+        return [("full", t.strip())]
+    if any(x == "unic" for _, _, x in met):
+        met = [next(m for m in met if m[2] == "unic")]
+    else:
+        roman = [m for m in met if set(m[2]) <= set("IVXLCDM")]
+        other = [m for m in met if m not in roman]
+        met = roman if len(roman) > len(other) else other
+        value = [sum(-v if any(w > v for w in vs[i + 1 : i + 2]) else v for i, v in enumerate(vs)) if (vs := [{"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.get(c, 0) for c in m[2]]) and m in roman else int(m[2].split("^")[0]) if m[2][0].isdigit() else -1 for m in met]
+        best, back = [1] * len(met), [None] * len(met)
+        for i in range(len(met)):
+            for j in range(i):
+                if value[j] < value[i] and best[j] + 1 > best[i]:
+                    best[i], back[i] = best[j] + 1, j
+        at, run = best.index(max(best)), []
+        while at is not None:
+            run.append(met[at])
+            at = back[at]
+        met = run[::-1]
+    out = [("preambul", p)] if len(p := t[: met[0][0]].strip()) >= 40 else []
+    for (_, e, label), nxt in zip(met, [m[0] for m in met[1:]] + [len(t)], strict=True):
+        if body := t[e:nxt].strip():
+            out.append((label, body))
+    return out
+
+
+def test_articles_of_every_act(spark, data_dir):
+    from lexgraph.operators import segment
+
+    rows = table(spark, data_dir, "legislative_corpus").select("corpus_id", "law_text").collect()
+    want = {r.corpus_id: slow_articles(r.law_text) for r in rows}
+    got: dict = {i: [] for i in want}
+    for r in segment.split_into_articles(table(spark, data_dir, "legislative_corpus")).orderBy("corpus_id", "pos").collect():
+        got[r.corpus_id].append((r.article_number, r.text))
+    assert got == want and max(map(len, want.values())) > 3
