@@ -18,6 +18,8 @@ from .edits import damerau, fold_text
 #: Lists of up to this many entries travel with the function; longer ones are sharded.
 MAX_BROADCAST_ENTRIES = 5_000
 UNMATCHED = "unmatched"
+#: Letters from which on a word may hold two words of a list written together.
+LONG = 14
 
 # Other ways in which the relations of the vocabulary are named.
 RELATION_ALIASES: dict[str, tuple[str, ...]] = {
@@ -160,22 +162,31 @@ class EntryIndex:
             self.by_letter.setdefault(w[0], []).append(w)
 
     def _hopeful(self, reading: str) -> bool:
-        """False where no key can be within three edits: of three or more words none is within two edits of a word of the list.
+        """False where no key can be within three edits, so that the trees need not be searched.
 
-        A symmetric-delete set over the list's words decides it. Fewer words, and keys of one word, are always searched.
+        A word that is not within two edits of any word of the list takes three edits or more, unless
+        it is part of a word torn apart (then its join with a neighbour is near one) or holds two words written together
+        (LONG letters or more); two such words are too many. Values of one or two words, and lists with keys of one, are
+        always searched. Nearness is decided by a symmetric-delete set over the list's words.
         """
         words = [w for w in reading.split(" ") if w not in _CONNECTIVES]
         if len(words) < 3 or self.lone:
             return True
-        for w in words:
-            near = self._near.get(w)
-            if near is None:
-                if len(self._near) > _MEMO_LIMIT:
-                    self._near.clear()
-                near = self._near[w] = not self.deletions.isdisjoint(deletions(w))
-            if near:
-                return True
-        return False
+        unknown = 0
+        for n, w in enumerate(words):
+            if len(w) < LONG and not self._is_near(w) and not any(self._is_near(x) for x in ("".join(words[n : n + 2]), "".join(words[max(n - 1, 0) : n + 1])) if x != w):
+                unknown += 1
+                if unknown > 1:
+                    return False
+        return True
+
+    def _is_near(self, word: str) -> bool:
+        near = self._near.get(word)
+        if near is None:
+            if len(self._near) > _MEMO_LIMIT:
+                self._near.clear()
+            near = self._near[word] = not self.deletions.isdisjoint(deletions(word))
+        return near
 
     def _put(self, key: str, rank: int, entry: str) -> None:
         if key and (key not in self.exact or (rank, entry) < self.exact[key]):
