@@ -33,10 +33,13 @@ def with_act_key(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds struct(act_type, number, year) of a reference, NULL where it names no act.
 
     A law_id must be the whole value; a citation in words must begin it. Thousands dots are
-    dropped. NULL and empty values give NULL. The steps are separate projections, so that the
+    dropped. NULL and empty values give NULL. A plain law_id is taken apart as it stands, and a value
+    without a digit cites nothing; only the others are folded and matched. The steps are separate projections, so that the
     planner computes the fold and the match once per row.
     """
     f, p = unclash(df, "_folded", "_parts")
+    c = F.col(value)
+    plain = c.rlike(r"\A(?:lege|oug|og|hg)_[0-9]+_[0-9]{4}\z")
     form = F.col(p)[0]
     act_type = (
         F.when(form.startswith("l"), "lege")
@@ -45,11 +48,11 @@ def with_act_key(df: DataFrame, value: str, out: str) -> DataFrame:
         .otherwise("og")
     )
     return (
-        df.withColumn(f, folded_reference(F.col(value)))
+        df.withColumn(f, folded_reference(F.when(~plain & c.rlike(r"\p{Nd}"), c)))
         .withColumn(p, F.split(F.regexp_replace(F.col(f), _REFERENCE, f"$1$4{_MARK}$2$5{_MARK}$3$6"), _MARK))
         .withColumn(
             out,
-            F.when(
+            F.when(plain, F.struct(*(F.substring_index(x, "_", n).alias(name) for x, n, name in ((c, 1, "act_type"), (F.substring_index(c, "_", 2), -1, "number"), (c, -1, "year"))))).when(
                 F.size(p) == 3,
                 F.struct(act_type.alias("act_type"), F.replace(F.col(p)[1], F.lit("."), F.lit("")).alias("number"), F.col(p)[2].alias("year")),
             ),
