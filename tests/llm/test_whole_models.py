@@ -56,3 +56,29 @@ def test_a_sentence_may_deal_with_several_subjects():
     assert m.dealt(t).tolist() == [[True, False], [False, True], [False, False]]
     m.accept[:] = -99
     assert m.dealt(t).all() and subjects.document_areas(m, t, 0.25) == [names] * 3
+
+
+def test_a_model_of_many_shards_is_the_whole(spark, data_dir, monkeypatch):
+    # the driver held the whole model several times over; now no step may hold more than a shard of it
+    docs, samples, subs = table(spark, data_dir, "documents"), table(spark, data_dir, "subject_samples"), table(spark, data_dir, "subjects")
+    names = sorted({r.subject for r in samples.collect()})
+    blocks = subjects.tokenised(docs, "doc_id", "text")
+    (whole,), accept = subjects.train_shards(blocks, samples, "text", "subject", names)
+    areas = sorted(subjects.find_areas(docs, "doc_id", "text", samples, subs).collect())
+    one = whole.value
+    most = len(one.ratio) // 5
+    largest = []
+    init = subjects.SubjectModels.__post_init__
+    monkeypatch.setattr(subjects, "SHARD_ROWS", most)
+    told, again = subjects.train_shards(blocks, samples, "text", "subject", names)
+    parts = [b.value for b in told]
+    assert len(parts) > 5 and max(len(m.ratio) for m in parts) < 2 * most and np.array_equal(accept, again)
+    assert sorted(np.concatenate([m.uni for m in parts])) == one.uni.tolist() and sorted(np.concatenate([m.bi for m in parts])) == one.bi.tolist()
+    t = subjects.tokens_of([r.text for r in docs.select("text").collect()])
+    assert np.allclose(sum(m.scores(t) for m in parts), one.scores(t), atol=1e-4)
+    # what the driver builds beside the shards are models of the samples' n-grams only
+    monkeypatch.setattr(subjects.SubjectModels, "__post_init__", lambda m: (largest.append(len(m.ratio)), init(m))[1])
+    assert sorted(subjects.find_areas(docs, "doc_id", "text", samples, subs).collect()) == areas
+    rows = samples.collect()
+    own = subjects.sample_counts([r.text for r in rows], [r.subject for r in rows], names)
+    assert max(largest) <= max(2 * most, len(own.drop_duplicates(["pair", "hash"])))
